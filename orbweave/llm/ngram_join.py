@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,22 +38,22 @@ from orbweave.llm.components import components
 SKETCH_BITS = 20
 SLICES = 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _BASE and of its inverse mod 2**64, at least n of each."""
-    if len(_powers[0]) < n:
-        size = 1 << n.bit_length()
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for k, x in enumerate((_BASE, inverse)):
-            steps = np.full(size, x, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+class _WordHashes(dict):
+    """Hashes of words; a worker keeps them from text to text and starts anew beyond ``most``."""
+
+    most = 400_000
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        h = self[word] = xxhash.xxh64_digest(word)
+        return h
+
+
+_hash_of = _WordHashes()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -65,25 +66,17 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's word n-grams, A-Z lowered.
 
     A text of fewer words is one n-gram; one without words has none."""
-    data = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
-    if not data:
-        return np.empty(0, np.uint64)
-    codes = np.frombuffer(data, np.uint8)
-    space = np.concatenate([[True], _SPACE[codes], [True]])
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    begin, end = edge[0::2], edge[1::2]
-    if not len(begin):
+    found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not found:
         return np.empty(0, np.uint64)
-    up, down = _grown(len(codes) + 1)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
-    words = _mixed((total[end] - total[begin]) * down[begin])
+    words = np.frombuffer(b"".join(map(_hash_of.__getitem__, found)), np.uint64)
     w = min(width, len(words))
     n = len(words) - w + 1
     grams = np.full(n, w, np.uint64)
     for j in range(w):
         grams = grams * _STEP + words[j : j + n]
-    return np.unique(_mixed(grams))
+    hashes = np.sort(_mixed(grams))
+    return hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])]
 
 
 def _least_overlap(n: int, percent: int) -> int:
@@ -98,7 +91,7 @@ def _signed(width: int):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         seen: set[int] = set()
         for batch in batches:
-            ns, sids = [], []
+            ns, sids, fresh, held = [], [], [], 0
             for text in batch.column("text"):
                 s = shingles(text.as_py(), width)
                 ns.append(len(s))
@@ -106,9 +99,13 @@ def _signed(width: int):
                 sids.append(sid if len(s) else None)
                 if len(s) and sid not in seen:
                     seen.add(sid)
-                    counts += np.bincount(s >> np.uint64(64 - SKETCH_BITS), minlength=len(counts)).astype(np.uint32) if len(s) > 1 << 15 else 0
-                    if len(s) <= 1 << 15:
-                        np.add.at(counts, s >> np.uint64(64 - SKETCH_BITS), 1)
+                    fresh.append(s >> np.uint64(64 - SKETCH_BITS))
+                    held += len(s)
+                if held > 1 << 21:
+                    counts += np.bincount(np.concatenate(fresh), minlength=len(counts)).astype(np.uint32)
+                    fresh, held = [], 0
+            if fresh:
+                counts += np.bincount(np.concatenate(fresh), minlength=len(counts)).astype(np.uint32)
             k = len(ns)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
@@ -155,7 +152,8 @@ def prefix_of(s: np.ndarray, counts: np.ndarray, usual: int, percent: int) -> tu
     short = n - need + 1
     # What this document's lists hold beyond the sketch's usual filling: the pairs that they would give.
     cost = int(np.maximum(estimate[order[:short]].astype(np.int64) - 2 * usual, 0).sum())
-    more = min(need, 1 + int(np.log2(1 + cost / n)))
+    # Up to a hundredth and, at more than an eighth of a pair an n-gram, a twenty-fifth of the set further.
+    more = min(need, 1 + n // 100 + min(n // 25, 8 * cost // n))
     chosen = order[: short - 1 + more]
     return s[chosen], estimate[chosen], more
 
@@ -372,7 +370,15 @@ def jaccard_components(
     texts = settled(rows.join(wanted, F.col("doc_id") == F.col("w_id")).select("sid", "text").dropDuplicates(["sid"]))
 
     fits = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
-    to_pivot = grouped.where("sid <> pivot").where(fits("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
+    # A pair that shares little with its pivot is left to step 4, which counts all that it shares.
+    to_pivot = (
+        grouped.where("sid <> pivot")
+        .where(fits("n", "pivot_n"))
+        .groupBy(F.col("pivot").alias("a"), F.col("sid").alias("b"))
+        .agg(F.count("*").alias("met"), F.first("n").alias("n"))
+        .where("16 * met >= n")
+        .select("a", "b")
+    )
     # The pivots of a salted n-gram are tied to the least of them.
     salted = grouped.where("sid = pivot").groupBy("h").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a < z").select("h", "a")
     across = grouped.where("sid = pivot").join(salted, "h").where("sid <> a").select("a", F.col("sid").alias("b"))
