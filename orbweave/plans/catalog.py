@@ -350,7 +350,7 @@ def unicode_seed(spark, d):
 @registered("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_dedup(spark, d):
     schema = table(spark, d, "events").schema
-    stream = streams.event_stream(spark, f"{d}/events.parquet", schema)
+    stream = streams.event_stream(spark, f"{d}/events*.parquet", schema)
     once = streams.drained(streams.once_each(stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"), "event_id", late="3650 days"), "dedup")
     return once.groupBy("event_type").agg(F.count("*").alias("n"))
 
