@@ -24,7 +24,14 @@ def _stars(edges: DataFrame, *, large: bool) -> DataFrame:
         new = hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         new = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return new.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return new.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node that hangs on none."""
+    sides = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    each = sides.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return each.where("hangs > 1 or (hangs > 0 and holds > 0)").isEmpty()
 
 
 def components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -34,13 +41,10 @@ def components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     ignored.  The number of rounds grows with the logarithm of the longest chain."""
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = settled(edges)
-    mark = None
     for _ in range(max_rounds):
-        edges = settled(_stars(_stars(edges, large=True), large=False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        if _is_settled(edges):
             break
-        mark = now
+        edges = settled(_stars(_stars(edges, large=True), large=False).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
