@@ -7,6 +7,8 @@ its best-scoring unused neighbours fill it, the last one cut where the window en
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,17 +37,28 @@ class Encoder:
 
     The pre-tokenizer ties a space to the character after it, so a text may be cut before
     every space that a character other than white space follows.  The vocabulary is that of
-    the tokenizers file; tiktoken merges by its ranks, to the same ids in a fifth of the time."""
+    the tokenizers file; tiktoken merges by its ranks, to the same ids in a fifth of the time.
+    The file's added tokens are cut out first, the leftmost and longest of them, and have
+    their own ids.  Where one takes white space or word ends into account, or is looked for
+    in normalized text, texts that hold an added token are left to the library."""
 
     def __init__(self, path: str, pattern: str):
         import regex
         import tiktoken
         from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        added = told.get("added_tokens") or []
+        self.added_ids = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        either = "|".join(map(re.escape, sorted(self.added_ids, key=len, reverse=True)))
+        self.added = re.compile(f"({either or '(?!)'})")
+        self.plain = not any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or (t.get("normalized") and told.get("normalizer")) for t in added)
         byte_of = {c: b for b, c in byte_characters().items()}
         ranks = {}
-        for token, i in Tokenizer.from_file(path).get_vocab().items():
-            if all(c in byte_of for c in token) and token != "<|endoftext|>":
+        for token, i in self.library.get_vocab().items():
+            if all(c in byte_of for c in token) and token not in self.added_ids:
                 ranks[bytes(byte_of[c] for c in token)] = i
         self.merge = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.split = regex.compile(pattern).findall
@@ -77,13 +90,24 @@ class Encoder:
         return parts
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.added.split(t) for t in texts]  # what lies between added tokens, and at odd places these
+        if not self.plain:
+            cut = [c if len(c) == 1 else ["", t] for c, t in zip(cut, texts, strict=True)]
+        between = iter(self._encode_plain([s for c in cut for s in c[::2]]))
+
+        def other(s: str) -> bytes:
+            return self.added_ids[s] if self.plain else array("I", self.library.encode(s, add_special_tokens=False).ids).tobytes()
+
+        return [np.frombuffer(b"".join([other(s) if k % 2 else next(between) for k, s in enumerate(c)]), np.uint32) for c in cut]
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
         cut = [self._chunks(t) for t in texts]
         if len(self.first) + len(self.later) > KEPT:
             self.first.clear()
             self.later.clear()
         self._learn(list({c[0] for c in cut if c[0] not in self.first}), self.first, "")
         self._learn(list({p for c in cut for p in c[1:] if p not in self.later}), self.later, " ")
-        return [np.frombuffer(self.first[c[0]] + b"".join(map(self.later.__getitem__, c[1:])), np.uint32) for c in cut]
+        return [self.first[c[0]] + b"".join(map(self.later.__getitem__, c[1:])) for c in cut]
 
 
 class Index:

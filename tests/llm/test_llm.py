@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -208,6 +209,24 @@ def test_packing(spark, with_ids):
         assert at <= 2048
 
 
+@pytest.mark.parametrize("flags", [{}, {"lstrip": True}, {"single_word": True}])
+def test_packing_finds_added_tokens(tmp_path, flags):
+    tokenizers = pytest.importorskip("tokenizers")
+    path, end = P.path("byte_bpe_50k.json"), "<|endoftext|>"
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    if flags:  # a longer token too, and one that the library cuts in its own way
+        told["added_tokens"] += [told["added_tokens"][0] | {"id": 50257, "content": end + "x"}, told["added_tokens"][0] | {"id": 50258, "content": "stop"} | flags]
+        path = str(tmp_path / "t.json")
+        with open(path, "w", encoding="utf-8") as file:
+            json.dump(told, file)
+    library = tokenizers.Tokenizer.from_file(path)
+    texts = ["", end, f"a{end}b", f"a {end} b", f"{end}{end}x  {end}\n\n c", f"{end[:-1]} {end[1:]}", f"it's{end}'s", "no  stop nonstop stop", f"é😀{end}日本", "plain"]
+    got = packing.Encoder(path, P.PATTERN).encode(texts)
+    assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in got[2].tolist()
+
+
 @pytest.mark.parametrize("scheme", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
 @pytest.mark.parametrize("tile", [0, 16])
 def test_tiff_round_trip(scheme, tile):
