@@ -1,8 +1,9 @@
 """Packing by lexical retrieval.
 
-Documents are tokenized, cut into whole windows, and their rests packed: each shard of
-rests has a BM25 inverted index over token ids; the longest unused rest seeds a window and
-its best-scoring unused neighbours fill it, the last one cut where the window ends.
+Documents are tokenized, cut into whole windows, and their rests packed: each shard has a
+BM25 index over the token ids of the whole documents; the longest unused rest seeds a
+window, is scored on all terms of its document, and its best-scoring unused neighbours
+fill it, the last one cut where the window ends.
 """
 
 from __future__ import annotations
@@ -111,50 +112,61 @@ class Encoder:
 
 
 class Index:
-    """A BM25 inverted index over one shard's token sequences."""
+    """BM25 of a shard's token sequences for one of them as a query, all its terms counted."""
 
-    def __init__(self, items: list[np.ndarray], query_terms: int, k1: float = 1.2, b: float = 0.75):
-        n = len(items)
-        self.n, self.query_terms = n, query_terms
+    def __init__(self, items: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+        found = [np.unique(i, return_counts=True) for i in items]
         lengths = np.array([len(i) for i in items], np.int64)
-        owner = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        flat = np.concatenate(items).astype(np.int64) if n else np.empty(0, np.int64)
-        pair, tf = np.unique(flat * n + owner if n else flat, return_counts=True)
-        term, self.doc = (pair // n, pair % n) if n else (pair, pair)
-        self.terms, self.starts, df = np.unique(term, return_index=True, return_counts=True)
-        self.ends = self.starts + df
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = k1 * (1 - b + b * lengths / max(lengths.mean(), 1)) if n else lengths
-        self.weight = tf * (k1 + 1) / (tf + norm[self.doc]) * np.repeat(self.idf, df) if n else tf
-        self.df = df
+        sizes = np.array([len(t) for t, _ in found], np.int64)
+        self.n = len(items)
+        term = np.concatenate([t for t, _ in found]).astype(np.int64) if found else np.empty(0, np.int64)
+        tf = np.concatenate([c for _, c in found]) if found else term
+        df = np.bincount(term)
+        shared = df[term] > 1  # the others are of one sequence alone, and no pair's score has them
+        owner, self.term, tf = np.repeat(np.arange(self.n), sizes)[shared], term[shared], tf[shared]
+        self.docs, self.sizes = np.unique(owner, return_counts=True)
+        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
+        norm = k1 * (1 - b + b * lengths / max(lengths.mean(), 1)) if self.n else lengths
+        self.weight = tf * (k1 + 1) / (tf + norm[owner]) * idf[self.term]
+        self.asked, self.each = np.zeros(len(df)), np.empty(len(self.term))
+
+    def leave(self, alive: np.ndarray) -> None:
+        """Once a quarter of the sequences is used up, its postings go."""
+        stay = alive[self.docs]
+        if 4 * stay.sum() < 3 * len(stay):
+            kept = np.repeat(stay, self.sizes)
+            self.docs, self.sizes, self.term, self.weight = self.docs[stay], self.sizes[stay], self.term[kept], self.weight[kept]
 
     def scores(self, item: np.ndarray) -> np.ndarray:
-        """BM25 of every sequence for a seed's rarest terms that others have."""
-        at = np.searchsorted(self.terms, np.unique(item))
-        at = at[self.df[at] > 1]
-        if len(at) > self.query_terms:
-            at = at[np.argpartition(self.df[at], self.query_terms)[: self.query_terms]]
-        if not len(at):
-            return np.zeros(self.n)
-        places = np.concatenate([np.arange(self.starts[i], self.ends[i]) for i in at])
-        return np.bincount(self.doc[places], self.weight[places], self.n)
-
-
-def pack_shard(lengths: list[int], items: list[np.ndarray], window: int, query_terms: int = 24, tried: int = 64) -> list[list[tuple[int, int, int]]]:
+        """The score of every sequence that is left."""
+        out = np.zeros(self.n)
+        if len(self.docs):
+            self.asked[item] = 1
+            each = np.take(self.asked, self.term, out=self.each[: len(self.term)], mode="clip")
+            each *= self.weight
+            out[self.docs] = np.add.reduceat(each, np.cumsum(self.sizes) - self.sizes)
+            self.asked[item] = 0
+        return out
+
+
+def pack_shard(lengths: list[int], items: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start, length); each id of each item stands in exactly one.
 
-    ``items`` are token sequences and may be longer than a window; every window but the
-    last is full."""
+    ``items`` are the terms that retrieval goes by, all of each sequence, however much of
+    it is left to place.  Sequences of more than a window give whole windows first; every
+    window but the last is full.  A window takes, from the whole ranking for its seed, the
+    neighbours that fit as a whole, then the best of the others cut; where none with a
+    positive score is left, the longest rests go on."""
     out, rests = [], []
     for i, n in enumerate(lengths):
         out += [[(i, s, window)] for s in range(0, n - window + 1, window)]
         if n % window:
             rests.append((i, n - n % window, n % window))
-    index = Index([items[i][s : s + n] for i, s, n in rests], query_terms)
+    row = [r[0] for r in rests]
+    index = Index([items[i] for i in row])
     start, left = np.array([r[1] for r in rests], np.int64), np.array([r[2] for r in rests], np.int64)
     order = np.argsort(-left, kind="stable")
     at, alive = 0, left.copy()  # alive: ids that are not placed
-    row = [r[0] for r in rests]
     while True:
         while at < len(order) and not alive[order[at]]:
             at += 1
@@ -170,26 +182,24 @@ def pack_shard(lengths: list[int], items: list[np.ndarray], window: int, query_t
             alive[k] -= n
             space -= n
 
-        i, s, n = row[seed], int(start[seed]), int(alive[seed])
-        scores = index.scores(items[i][s : s + n]) if space > n else None
-        place(seed, n)
-        if space and scores is not None:
-            scores[alive == 0] = -1
-            best = np.argpartition(-scores, min(tried, len(scores) - 1))[:tried]
-            best = best[scores[best] >= 0]
-            best = best[np.lexsort((best, -scores[best]))]
-            for k in best:
-                if alive[k] and alive[k] <= space:
+        place(seed, int(alive[seed]))
+        if space:
+            index.leave(alive > 0)
+            scores = index.scores(items[row[seed]])
+            near = np.flatnonzero((scores > 0) & (alive > 0))
+            near = near[np.argsort(-scores[near], kind="stable")]
+            while space and len(fit := near[alive[near] <= space]):
+                for k in fit[: np.searchsorted(np.cumsum(alive[fit]), space, side="right")]:
                     place(k, int(alive[k]))
-                    if not space:
-                        break
-            while space:
-                k = next((k for k in best if alive[k]), None)
-                if k is None:  # the neighbours are used up: the next in order goes on
-                    k = next((order[j] for j in range(at, len(order)) if alive[order[j]]), None)
-                if k is None:
-                    break
-                place(k, int(min(space, alive[k])))
+                near = near[alive[near] > 0]
+            if space and len(near):  # longer than what is free
+                place(near[0], space)
+        while space:
+            while at < len(order) and not alive[order[at]]:
+                at += 1
+            if at == len(order):
+                break
+            place(order[at], int(min(space, alive[order[at]])))
         out.append(pieces)
 
 
@@ -201,7 +211,6 @@ def pack_documents(
     window: int = 2048,
     shard_docs: int = 2048,
     shard_tokens: int = 4_000_000,
-    query_terms: int = 24,
     with_ids: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -223,7 +232,7 @@ def pack_documents(
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal sequence, ids, items, held
             rows: list[list] = [[] for _ in range(8)]
-            for pieces in pack_shard([len(x) for x in items], items, window, query_terms):
+            for pieces in pack_shard([len(x) for x in items], [x[:-1] for x in items], window):  # END is no term
                 offset = 0
                 for k, s, n in pieces:
                     part = items[k][s : s + n]

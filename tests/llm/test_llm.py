@@ -209,6 +209,34 @@ def test_packing(spark, with_ids):
         assert at <= 2048
 
 
+@pytest.mark.parametrize("sizes", [(4, 20), (30, 300)])
+def test_packing_takes_the_whole_ranking(sizes):
+    rng = np.random.default_rng(8)
+    items = [rng.integers(0, 40 if i % 2 else 4000, n) for i, n in enumerate(rng.integers(*sizes, 400))] + [np.empty(0, np.int64)]
+    lengths, window = [len(i) + 1 for i in items], 128
+    mean, counts = np.mean([len(i) for i in items]), [collections.Counter(i.tolist()) for i in items]
+    df = collections.Counter(t for c in counts for t in c)
+    idf = {t: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    score = lambda q, k: sum(idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(items[k]) / mean)) for t, c in counts[k].items() if t in counts[q])
+    left = {k: n % window for k, n in enumerate(lengths) if n % window}
+    order = sorted(left, key=lambda k: (-left[k], k))
+    mixed = [w for w in packing.pack_shard(lengths, items, window) if w[0][2] < window]
+    for w in mixed:
+        seed = next(k for k in order if left[k])
+        space, expected = window - left[seed], [(seed, left[seed])]
+        left[seed] = 0
+        ranked = [k for s, k in sorted((-score(seed, k), k) for k in left if left[k]) if s < 0]
+        for whole, ks in ((True, ranked), (False, ranked), (False, order)):
+            for k in ks:
+                if left[k] and space and (left[k] <= space or not whole):
+                    n = min(left[k], space)
+                    expected.append((k, n))
+                    left[k] -= n
+                    space -= n
+        assert [(k, n) for k, _, n in w] == expected
+    assert not any(left.values())
+
+
 @pytest.mark.parametrize("flags", [{}, {"lstrip": True}, {"single_word": True}])
 def test_packing_finds_added_tokens(tmp_path, flags):
     tokenizers = pytest.importorskip("tokenizers")
