@@ -18,13 +18,26 @@ ROUNDS = 8
 
 #: What each kind looks like, in the order in which they are tried.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)(?:[ .-]?[0-9]{2,4}){1,2}|[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4})(?![0-9]|\.[0-9])"
-IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
+#: A plus and 8 to 15 digits; where the country code says how many digits follow, as many as that.
+_PHONE_LENGTHS = {8: "45|47", 9: "31|33|34|41|48|61|351", 10: "[17]|44|52|91", 11: "86"}
+_PHONE_KNOWN = [rf"(?:{codes})(?:[ .-]?[()]?[ .-]?[0-9]){{{n}}}" for n, codes in _PHONE_LENGTHS.items()]
+_PHONE_NEXT = r"(?:(?:[ .-](?=[0-9]{2}))?[0-9])"
+_PHONE_OTHER = [rf"[0-9]{{{c}}}[ .-]?(?:\([0-9]{{1,4}}\){_PHONE_NEXT}{{3,{11 - c}}}|[0-9]{_PHONE_NEXT}{{{7 - c},{14 - c}}})" for c in (3, 2, 1)]
+PHONE = r"(?<![0-9A-Za-z+])\+(?:" + "|".join(rf"{p}(?![0-9]|\.[0-9])" for p in [*_PHONE_KNOWN, *_PHONE_OTHER]) + ")"
+#: The lengths of IBANs by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "AO|CV|GW|LY|MZ|PT|ST", 26: "DZ|IR|IS|TR", 27: "BI|CF|CG|CM|DJ|FR|GA|GQ|GR|IT|KM|MC|MG|MR|SM|TD",
+    28: "AL|AZ|BF|BJ|BY|CI|CY|DO|GT|HN|HU|LB|MA|ML|NE|NI|PL|SN|SV|TG", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+IBAN = r"(?<![0-9A-Za-z])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(rf"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items()) + ")(?![0-9A-Za-z])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9./-]*[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]*[0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
-CARD = r"(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])"
-ANY = "|".join([EMAIL, PHONE, IBAN, DATE, SSN, IPV4, CARD])
+CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+#: Groups of digits, 13 digits at least, in which cards are looked for; an address or a date with dots after them is none of them.
+RUN = r"(?<![0-9A-Za-z-])(?=(?:[ -]*[0-9]){13})[0-9][0-9 -]*[0-9](?![0-9A-Za-z]|(?:\.[0-9]{1,3}){3}|[./][0-9]{2}[./][0-9]{4})"
+ANY = "|".join([EMAIL, PHONE, IBAN, DATE, SSN, IPV4, RUN])
 #: 400 years from FIRST_DAY; the number of days is DAYS_LEFT * DAYS_RIGHT.
 FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1800-01-01", 189, 773
 
@@ -98,11 +111,80 @@ def _card(x: Column, key: str) -> Column:
         n = F.length(d)
         body = permuted_digits(d.substr(F.lit(1), n - 1), key, "card")
         new = let(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
-        return F.when(luhn_sum(d) % 10 == 0, _filled(x, new)).otherwise(x)
+        return _filled(x, new)
 
     return let(_only(x, "[ -]"), of)
 
 
+def _changed(x: Column, new: Column) -> Column:
+    return let(new, lambda v: F.struct(v.alias("text"), F.when(v != x, 1).otherwise(0).alias("n")))
+
+
+#: How many digits cards have, the usual first.
+CARD_LENGTHS = (16, 15, 14, 13, 19, 18, 17)
+
+
+def _in_run(x: Column, key: str) -> Column:
+    """A RUN with its cards replaced, and their number: from each group of digits on, the first of
+    CARD_LENGTHS that ends with a group and validates.  Dates and numbers of social security
+    after the first group are replaced as elsewhere."""
+
+    def of(groups: Column) -> Column:
+        def span(i: Column, n: Column) -> Column:
+            return F.regexp_replace(F.array_join(F.slice(groups, i + 1, n), ""), "[ -]+$", "")
+
+        def step(s: Column, i: Column) -> Column:
+            def chosen(ahead: Column) -> Column:
+                # How many groups, and what they become.
+                after = F.coalesce(F.get(groups, i + 2), F.lit(""))
+                alone = (i > 0) & ~F.get(groups, i - 1).endswith("-") & ~(after.rlike("-$") & (i + 3 < F.size(groups)))
+                three = F.element_at(ahead, F.least(F.lit(3), F.size(ahead)))
+                other = F.when(alone & three.rlike(f"^(?:{DATE})$"), _date(three, key)).when(alone & three.rlike(f"^(?:{SSN})$"), _ssn(three, key))
+                cards = F.filter(
+                    F.transform(ahead, lambda a, k: F.struct(a.alias("text"), (k + 1).alias("n"), F.length(_only(a, "[ -]")).alias("digits"))),
+                    lambda c: c["text"].rlike(f"^{CARD}$"),
+                )
+                sound = F.filter(cards, lambda c: luhn_sum(_only(c["text"], "[ -]")) % 10 == 0)
+                ranked = F.array_sort(F.transform(sound, lambda c: F.struct(F.array_position(F.array(*map(F.lit, CARD_LENGTHS)), c["digits"]).alias("rank"), c["n"].alias("n"), c["text"].alias("text"))))
+                card = let(F.get(ranked, F.lit(0)), lambda c: F.when(c.isNotNull(), F.struct(c["n"].alias("n"), c["text"].alias("old"), _card(c["text"], key).alias("new"))))
+                small = let(other, lambda v: F.when(v.isNotNull(), F.struct(F.lit(3).alias("n"), three.alias("old"), v.alias("new"))))
+                return F.coalesce(small, card)
+
+            def grown(c: Column) -> Column:
+                whole = F.array_join(F.slice(groups, i + 1, F.coalesce(c["n"], F.lit(1))), "")
+                return F.struct(
+                    F.concat(s["text"], F.when(c.isNull(), whole).otherwise(F.concat(c["new"], whole.substr(F.length(c["old"]) + 1, F.length(whole))))).alias("text"),
+                    (s["n"] + F.when(c["new"] != c["old"], 1).otherwise(0)).alias("n"),
+                    (i + F.coalesce(c["n"], F.lit(1))).alias("next"),
+                )
+
+            ahead = F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i)), lambda n: span(i, n))
+            return F.when(i < s["next"], s).otherwise(let(let(ahead, chosen), grown))
+
+        start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(0).alias("next"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n")))
+
+    return let(F.regexp_extract_all(x, F.lit("[0-9]+[ -]*"), 0), of)
+
+
+def _runs_in(x: Column, key: str) -> Column:
+    """What lies in a match that did not validate."""
+    before, found = cut_by(x, RUN)
+
+    def of(c: Column) -> Column:
+        new = F.transform(c["found"], lambda r: _in_run(r, key))
+        taken = F.aggregate(F.zip_with(c["before"], c["found"], lambda b, f: F.length(b) + F.length(f)), F.lit(0), lambda s, v: s + v)
+        return let(
+            new,
+            lambda v: F.struct(
+                F.concat(F.array_join(F.zip_with(c["before"], v, lambda b, r: F.concat(b, r["text"])), ""), x.substr(taken + 1, F.length(x))).alias("text"),
+                F.aggregate(v, F.lit(0), lambda s, r: s + r["n"]).alias("n"),
+            ),
+        )
+
+    return let(F.struct(before.alias("before"), found.alias("found")), of)
+
+
 def _mod97(text: Column) -> Column:
     """The number that an IBAN's letters and digits spell, mod 97."""
     return F.aggregate(
@@ -176,17 +258,18 @@ def _email(x: Column, key: str) -> Column:
 
 
 def pseudonym(x: Column, key: str) -> Column:
-    """The pseudonym of one match of ANY; what does not validate stays as it is."""
+    """What one match of ANY becomes, and how many values in it are replaced; what does not validate stays as it is."""
     whole = lambda p: x.rlike(f"^(?:{p})$")
+    iban = let(_changed(x, _iban(x, key)), lambda v: F.when(v["n"] > 0, v).otherwise(_runs_in(x, key)))
     return (
-        F.when(whole(EMAIL), _email(x, key))
-        .when(whole(PHONE), _phone(x, key))
-        .when(whole(IBAN), _iban(x, key))
-        .when(whole(DATE), _date(x, key))
-        .when(whole(SSN), _ssn(x, key))
-        .when(whole(IPV4), _ipv4(x, key))
-        .when(whole(CARD), _card(x, key))
-        .otherwise(x)
+        F.when(whole(EMAIL), _changed(x, _email(x, key)))
+        .when(whole(PHONE), _changed(x, _phone(x, key)))
+        .when(whole(IBAN), iban)
+        .when(whole(DATE), _changed(x, _date(x, key)))
+        .when(whole(SSN), _changed(x, _ssn(x, key)))
+        .when(whole(IPV4), _changed(x, _ipv4(x, key)))
+        .when(whole(RUN), _in_run(x, key))
+        .otherwise(F.struct(x.alias("text"), F.lit(0).alias("n")))
     )
 
 
@@ -203,7 +286,7 @@ def pseudonymise(docs: DataFrame, *, key: str = "orbweave", text_col: str = "tex
     b, f, new = (F.col(n) for n in names)
     length = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
     rest = F.col(text_col).substr(length(b) + length(f) + 1, F.length(text_col))
-    text = F.when(F.size(f) > 0, F.concat(F.array_join(F.zip_with(b, new, lambda p, v: F.concat(p, v)), ""), rest)).otherwise(F.col(text_col))
-    n = F.size(F.filter(F.zip_with(f, new, lambda a, c: a != c), lambda x: x)).cast("long")
+    text = F.when(F.size(f) > 0, F.concat(F.array_join(F.zip_with(b, new, lambda p, v: F.concat(p, v["text"])), ""), rest)).otherwise(F.col(text_col))
+    n = F.aggregate(new, F.lit(0), lambda s, v: s + v["n"]).cast("long")
     out = staged.withColumns({text_col: text} | ({count_col: F.when(F.size(f) > 0, n).otherwise(F.lit(0)).cast("long")} if count_col else {}))
     return out.drop(*names)

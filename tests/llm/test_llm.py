@@ -138,6 +138,23 @@ def test_pii(spark):
     assert "c.example.com" not in got[n + 2]["text"] and "555-7713" not in got[n + 2]["text"] and "297.1.1.1" in got[n + 2]["text"]
 
 
+def test_pii_beside_other_digits(spark):
+    card, phone, iban = "4111111111111111", "+1 415 555 0123", "ES91 2100 0418 4502 0005 1332"
+    spaced = "4111 1111 1111 1111"
+    texts = [card, phone, iban, f"{spaced} 12/25", f"{card} 123", f"order 12 {card}", f"{iban} PAID", f"{phone} 2024", f"{phone} {spaced}", f"{spaced} {card} 7"]
+    texts += [f"{spaced} 123-45-6789 1980-02-29", f"{card} 10.20.30.40", f"NO12 4111 1111 1111 111 {card}", "1234 5678 " + spaced, "+44 20 7946 0958 2024", f"5 - 6 - {card}", "1 " * 3000 + card, "GB82 4111 1111 1111 1111 00"]
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in pii.pseudonymise(docs_of(spark, texts), key="k", count_col="n").collect()}
+    c, p, i = (got[k][0] for k in range(3))
+    assert c != card and p != phone and i != iban and [got[k][1] for k in range(3)] == [1, 1, 1]
+    s = " ".join(c[k : k + 4] for k in range(0, 16, 4))
+    assert got[3] == (f"{s} 12/25", 1) and got[4] == (f"{c} 123", 1) and got[5] == (f"order 12 {c}", 1)
+    assert got[6] == (f"{i} PAID", 1) and got[7] == (f"{p} 2024", 1) and got[8] == (f"{p} {s}", 2) and got[9] == (f"{s} {c} 7", 2)
+    assert got[10][1] == 3 and got[10][0].startswith(s) and "6789" not in got[10][0] and "1980-02-29" not in got[10][0]
+    assert got[11][1] == 2 and got[11][0].startswith(c + " ") and "10.20.30.40" not in got[11][0]
+    assert got[12][0].endswith(c) and got[13][0] == f"1234 5678 {s}" and got[14][0].endswith(" 2024")
+    assert got[15][0] == f"5 - 6 - {c}" and got[16][0] == "1 " * 3000 + c and got[17][0] == f"GB82 {s} 00"
+
+
 def test_feistel_is_a_permutation(spark):
     rows = spark.range(1000).select(pii.permuted_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("p"))
     assert rows.distinct().count() == 1000 and rows.where("length(p) <> 3").count() == 0
