@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -85,34 +83,39 @@ def similar_to(points: DataFrame, id_: int, k: int = 10) -> DataFrame:
     return found.withColumn("distance", planar_distance(_xyzm(), [F.col(f"t{c}") for c in AXES])).orderBy("distance", "id").limit(k).drop(*[f"t{c}" for c in AXES])
 
 
-def nearest_of_each(points: DataFrame, queries: DataFrame, k: int = 10, *, max_queries: int = 10_000) -> DataFrame:
+def nearest_of_each(points: DataFrame, queries: DataFrame, k: int = 10, *, query_block: int = 4096, point_block: int = 8192) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest of each query point in all four ordinates.
 
-    The query set is stated by the caller and bounded; each task holds it against its rows
-    in blocks and keeps k of each, so that only k rows a query and task are shuffled."""
+    Points and queries are dealt into blocks of about a fixed size; each block of the one
+    meets each of the other in one group, which keeps k of each query.  Block sizes change
+    no result, and neither set has a limit."""
     checked(k, 10_000)
-    stated = queries.select("id", *AXES).limit(max_queries + 1).collect()
-    checked(max(len(stated), 1), max_queries)
-    ids, at = np.array([r["id"] for r in stated], np.int64), np.array([[r[c] for c in AXES] for r in stated], float).reshape(-1, 4)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
-        for pdf in parts:
-            for lo in range(0, len(pdf), 4096):
-                rows = pdf.iloc[lo : lo + 4096]
-                p = rows[list(AXES)].to_numpy(float)
-                d2 = np.zeros((len(ids), len(p)))
-                for c in range(4):
-                    d2 += (p[None, :, c] - at[:, None, c]) ** 2
-                d = np.hstack([best[0], np.sqrt(d2)])
-                who = np.hstack([best[1], np.broadcast_to(rows["id"].to_numpy(np.int64), d2.shape)])
-                order = np.lexsort((who, d), axis=1)[:, :k]
-                best = np.take_along_axis(d, order, 1), np.take_along_axis(who, order, 1)
-        n = best[0].shape[1]
-        if n:
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": best[1].ravel(), "distance": best[0].ravel()})
-
-    part = points.select("id", *AXES).mapInPandas(run, "query_id long, id long, distance double")
+
+    def blocks(df: DataFrame, size: int) -> int:
+        return max(1, -(-df.count() // size))
+
+    n_queries, n_points = blocks(queries, query_block), blocks(points, point_block)
+    deal = lambda n: F.pmod(F.xxhash64("id", *AXES), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = points.select("id", *AXES, deal(n_points).alias("i"), every(n_queries).alias("j"))
+    right = queries.select("id", *AXES, deal(n_queries).alias("j"), every(n_points).alias("i"))
+
+    def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("id", kind="stable")  # a stable order of distances then breaks ties by id
+        who, p = held["id"].to_numpy(), held[list(AXES)].to_numpy(float)
+        out = [pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"query_id": "int64", "id": "int64"})]
+        for lo in range(0, len(asked) if len(p) else 0, 256):
+            some = asked.iloc[lo : lo + 256]
+            q = some[list(AXES)].to_numpy(float)
+            d2 = np.zeros((len(q), len(p)))
+            for c in range(4):
+                d2 += (p[None, :, c] - q[:, None, c]) ** 2
+            d = np.sqrt(d2)
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"query_id": np.repeat(some["id"].to_numpy(), order.shape[1]), "id": who[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()}))
+        return pd.concat(out, ignore_index=True)
+
+    part = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "query_id long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 

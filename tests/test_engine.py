@@ -64,6 +64,17 @@ def test_batch_of_neighbours_is_each_alone(five):
     assert len(batch) == 10
 
 
+def test_batch_of_neighbours_has_no_limit_of_queries(spark):
+    rng = np.random.default_rng(9)
+    at = np.round(rng.random((10_500, 4)), 2)
+    rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "id long, x double, y double, z double, m double")
+    got = search.nearest_of_each(rows.where("id < 50"), rows, 3, point_block=9).collect()
+    d = np.sqrt(((at[:, None] - at[None, :50]) ** 2).sum(2).round(9))
+    near = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert len(got) == 3 * len(at)
+    assert max(abs(r["distance"] - d[r["query_id"], near[r["query_id"], r["rank"] - 1]]) for r in got) < 1e-6
+
+
 def test_chain(spark):
     edges = spark.createDataFrame([(100, 101), (101, 102), (102, 103), (103, 104), (104, 100)], "parent long, child long")
     root = spark.createDataFrame([(100,)], "node long")
