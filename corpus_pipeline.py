@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import line_crf, line_dedup, ngram_join, packing, pii
+from orbweave.llm.common import settled
 
 #: No SQL says what a trained field or a tokenizer does.
 ORACLE_SQL = None
@@ -18,17 +19,35 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three lines go; n_chars follows the text."""
-    new = line_dedup.dedup_lines(docs).select(F.col("doc_id").alias("of"), F.col("text").alias("new_text"))
-    rest = docs.drop("text", "n_chars")
-    joined = rest.join(new.dropDuplicates(["of"]), F.col("doc_id").eqNullSafe(F.col("of")))
-    return joined.withColumn("text", F.col("new_text")).withColumn("n_chars", F.length("new_text").cast("long")).select(*docs.columns)
+    """Later occurrences of three lines go; n_chars follows the text.
+
+    A row without an id is a document of its own, after those with one; rows that share
+    an id are one document where they share the text too."""
+    key, text, no_id = "__line_key__", "__line_text__", F.col("doc_id").isNull()
+
+    def keyed(rows: DataFrame, n) -> DataFrame:
+        return rows.withColumn(key, F.struct(no_id.alias("last"), F.col("doc_id").alias("id"), n.alias("n")))
+
+    # Written: a number of a row must not change from one reading to the next.
+    numbered = settled(keyed(docs.where(no_id), F.monotonically_increasing_id()))
+    rows = keyed(docs.where(~no_id), F.xxhash64("text")).unionByName(numbered)
+    new = line_dedup.dedup_lines(rows, id_col=key).select(F.col("doc_id").alias("__line_of__"), F.col("text").alias(text)).dropDuplicates(["__line_of__"])
+    joined = rows.drop("text", "n_chars").join(new, F.col(key).eqNullSafe(F.col("__line_of__")))
+    return joined.withColumn("text", F.col(text)).withColumn("n_chars", F.length(text).cast("long")).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of near duplicates."""
-    first = ngram_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id")
-    return docs.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(*docs.columns)
+    """The first document of each component of near duplicates.
+
+    Rows without an id stay, as do the texts of an id that has several: each is its own group."""
+    known = docs.where("doc_id is not null")
+    texts = known.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
+    several = settled(texts.where("lo <> hi").select("doc_id"))
+    one = known.join(several, "doc_id", "left_anti").select(*docs.columns)
+    first = ngram_join.jaccard_components(one).where("doc_id = component_id").select("doc_id")
+    kept = one.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(*docs.columns)
+    unclear = known.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return kept.unionByName(unclear).unionByName(docs.where("doc_id is null"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

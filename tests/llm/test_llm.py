@@ -356,3 +356,18 @@ def test_pipeline_stages_keep_the_columns(spark):
         assert out.columns == docs.columns, name
         assert out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
         docs = out
+
+
+def test_pipeline_keeps_rows_without_an_id_of_their_own(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, of string, new_text string"
+    texts = [(None, "p\nq\nr\ns"), (None, "t\nu\nv\nw"), (None, "x\na\nb\nc\ny"), (None, None), (1, "a\nb\nc\nd"), (2, "k\nl\nm\nn"), (2, "one two three four five six"), (3, "a\nb\nc\nd"), (3, "a\nb\nc\nd")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, f"o{k}", "x") for k, (i, t) in enumerate(texts)], schema)
+    lines = corpus_pipeline.without_repeated_lines(spark, docs, "")
+    got = {r["of"]: (r["doc_id"], r["text"]) for r in lines.collect()}
+    expected = {f"o{k}": (i, t) for k, (i, t) in enumerate(texts)} | {"o2": (None, "x\ny"), "o7": (3, ""), "o8": (3, "")}
+    assert got == expected and lines.columns == docs.columns
+    near = corpus_pipeline.one_of_each_group(spark, lines, "").collect()
+    assert sorted(r["of"] for r in near if r["doc_id"] != 3) == ["o0", "o1", "o2", "o3", "o4", "o5", "o6"]
+    assert sum(r["doc_id"] == 3 for r in near) == 1
