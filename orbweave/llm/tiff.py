@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Fixed values of the format: bytes of each field type, and the tags that are read.
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 TYPE_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER = 256, 257, 258, 259, 262, 266
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -154,7 +154,8 @@ def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, tuple], int]
         place = at + 10 + 12 * k
         if size > 4:
             (place,) = struct.unpack_from(order + "I", data, place)
-        tags[tag] = struct.unpack_from(f"{order}{n}{TYPE_CODES[kind]}", data, place)
+        if place + size <= len(data):  # a page that needs what lies outside the file lacks the tag
+            tags[tag] = struct.unpack_from(f"{order}{n}{TYPE_CODES[kind]}", data, place)
     return tags, struct.unpack_from(order + "I", data, at + 2 + 12 * count)[0]
 
 
@@ -164,11 +165,11 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> dict:
     bits, planar, predictor = one(BITS, 1), one(PLANAR, 1), one(PREDICTOR, 1)
     if not width or not height:
         raise TiffError("a page has no size")
-    if bits not in (8, 16) or any(b != bits for b in tags.get(BITS, ())):
+    if bits not in (1, 2, 4, 8, 16) or any(b != bits for b in tags.get(BITS, ())):
         raise TiffError(f"{bits} bits a sample are not supported")
-    if predictor not in (1, 2):
+    if predictor not in (1, 2) or (predictor == 2 and bits < 8):
         raise TiffError(f"predictor {predictor} is not supported")
-    kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
+    kind = np.dtype(np.uint8 if bits <= 8 else order + "u2")
     planes, depth = (samples, 1) if planar == 2 else (1, samples)
     tiled = TILE_OFFSETS in tags
     w, h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
@@ -182,10 +183,16 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> dict:
         y, x = rest // across * h, rest % across * w
         rows = h if tiled else min(h, height - y)
         raw = _decompressed(data[places[k] : places[k] + lengths[k]], scheme)
-        need = rows * w * depth * kind.itemsize
+        line = w * depth * kind.itemsize if bits >= 8 else -(-w * depth * bits // 8)
+        need = rows * line
         if len(raw) < need:
             raise TiffError("a strip or tile is too short")
-        block = np.frombuffer(raw[:need], kind).astype(image.dtype).reshape(rows, w, depth)
+        if bits < 8:
+            single = np.unpackbits(np.frombuffer(raw[:need], np.uint8).reshape(rows, line), axis=1, bitorder="little" if one(FILL_ORDER, 1) == 2 and bits == 1 else "big")
+            single = single[:, : w * depth * bits].reshape(rows, w, depth, bits)
+            block = single @ (1 << np.arange(bits)[::-1]).astype(np.uint8)
+        else:
+            block = np.frombuffer(raw[:need], kind).astype(image.dtype).reshape(rows, w, depth)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=image.dtype)
         part = image[p, y : y + rows, x : x + w]
@@ -194,19 +201,28 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> dict:
     return {"width": width, "height": height, "samples": samples, "bits": bits, "compression": scheme, "predictor": predictor, "pixels": pixels.tobytes()}
 
 
-def tiff_pages(data: bytes) -> list[dict]:
-    """The pages of a file: width, height, samples, bits, compression, predictor, pixels (native order)."""
+_DAMAGE = (TiffError, struct.error, zlib.error, KeyError, TypeError, ValueError, IndexError, MemoryError)
+
+
+def tiff_pages(data: bytes) -> Iterator[dict]:
+    """The pages of a file, one by one: width, height, samples, bits, compression, predictor, pixels (native
+    order; samples of 1, 2 and 4 bits have a byte each).  A page that is not readable is its error alone;
+    damage to the chain of pages is raised after the pages before it."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise TiffError("not a TIFF")
-    pages, seen, (at,) = [], set(), struct.unpack_from(order + "I", data, 4)
+    seen: set[int] = set()
+    (at,) = struct.unpack_from(order + "I", data, 4)
     while at:
         if at in seen:
             raise TiffError("the directories form a loop")
         seen.add(at)
         tags, at = _directory(data, order, at)
-        pages.append(_page(data, order, tags))
-    return pages
+        try:
+            page = _page(data, order, tags)
+        except _DAMAGE as e:
+            page = {"error": str(e) or type(e).__name__}
+        yield page
 
 
 def encode_tiff(pages: list[np.ndarray], *, scheme: int = DEFLATE, predictor: int = 1, rows: int = 256, tile: int = 0, order: str = "<", level: int = 1) -> bytes:
@@ -283,8 +299,9 @@ def read_tiff_columns(files: DataFrame, *, keep_col: str, media_col: str = "medi
     """One row per page of each file: ``keep_col`` as it is, the page's number and shape, its
     pixels, a feature string (8-bit pages) and a null error.
 
-    A null file gives no row; one that is no TIFF, or damaged, gives one row with page -1,
-    no pixels and the error.  Repeated rows give repeated pages; further columns are ignored."""
+    A page that is not readable has its number and the error alone.  A null file gives no
+    row; one that is no TIFF, or whose chain of pages breaks, gives a row with page -1, no
+    pixels and the error, after the pages before the break.  Repeated rows give repeated pages; further columns are ignored."""
     kept = files.select(F.col(keep_col), F.col(media_col).alias("__media__"))
     schema = f"`{keep_col}` {kept.schema[keep_col].dataType.simpleString()}, {_PAGE_SCHEMA}"
     page_types = [pa.int32()] * 7 + [pa.binary(), pa.string(), pa.string()]
@@ -303,11 +320,14 @@ def read_tiff_columns(files: DataFrame, *, keep_col: str, media_col: str = "medi
                     continue
                 try:
                     for k, page in enumerate(tiff_pages(data)):
-                        feature = features_of(page["pixels"], page["width"] * page["samples"]) if page["bits"] == 8 else None
+                        feature = features_of(page["pixels"], page["width"] * page["samples"]) if page.get("bits") == 8 else None
                         rows.append({"page": k, "feature": feature, **page})
                         at.append(i)
-                        held += len(page["pixels"])
-                except (TiffError, struct.error, zlib.error, KeyError, TypeError) as e:
+                        held += len(page.get("pixels", b""))
+                        if held > 16 << 20:
+                            yield told()
+                            at, rows, held = [], [], 0
+                except _DAMAGE as e:
                     rows.append({"page": -1, "error": str(e) or type(e).__name__})
                     at.append(i)
                 if held > 16 << 20:

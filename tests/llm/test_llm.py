@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -296,6 +297,28 @@ def test_tiff_columns(spark):
     assert [(r["page"], r["pixels"]) for r in tiff.read_tiff_columns(bad, keep_col="doc_id").collect()] == [(-1, None)]
 
 
+def test_tiff_reads_the_other_pages(spark):
+    a = np.arange(16, dtype=np.uint8).reshape(4, 4)
+    data = bytearray(tiff.encode_tiff([a, a + 1, a + 2], scheme=tiff.NONE))
+    second = data.index(b"\x02\x01\x03\x00", data.index(b"\x02\x01\x03\x00") + 1)
+    data[second + 8] = 5  # bits a sample
+    rows = tiff.read_tiff_columns(spark.createDataFrame([(1, data)], "doc_id long, media binary"), keep_col="doc_id").collect()
+    assert [(r["page"], r["pixels"]) for r in rows] == [(0, a.tobytes()), (1, None), (2, (a + 2).tobytes())] and "5 bits" in rows[1]["error"]
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_tiff_small_samples(bits):
+    rng = np.random.default_rng(10)
+    a = rng.integers(0, 1 << bits, (5, 11), dtype=np.uint8)
+    single = (a[..., None] >> np.arange(bits)[::-1] & 1).reshape(5, -1)
+    packed = np.packbits(single, axis=1)
+    data = bytearray(tiff.encode_tiff([packed], scheme=tiff.PACKBITS))
+    for tag, value in ((tiff.WIDTH, 11), (tiff.BITS, bits)):
+        at = next(k for k in range(len(data) - 8) if data[k : k + 8] in (struct.pack("<HHI", tag, 3, 1), struct.pack("<HHI", tag, 4, 1)))
+        data[at + 8] = value
+    assert [p["pixels"] for p in tiff.tiff_pages(bytes(data))] == [a.tobytes()]
+
+
 def test_crf_forward_backward_is_enumeration():
     rng = np.random.default_rng(6)
     chain = line_crf.Chain()
