@@ -394,3 +394,19 @@ def test_pipeline_keeps_rows_without_an_id_of_their_own(spark):
     near = corpus_pipeline.one_of_each_group(spark, lines, "").collect()
     assert sorted(r["of"] for r in near if r["doc_id"] != 3) == ["o0", "o1", "o2", "o3", "o4", "o5", "o6"]
     assert sum(r["doc_id"] == 3 for r in near) == 1
+
+
+def test_pipeline_writes_each_stage(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    docs_of(spark, ["a", "b"]).write.parquet(f"{tmp_path}/documents.parquet")
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.extend(docs.inputFiles())
+        return docs.withColumn("h", F.col("h") + 1)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sum("documents.parquet" in f for f in read) < len(read) and not any("documents.parquet" in f for f in out.inputFiles())
+    assert sorted((r["doc_id"], r["h"]) for r in out.collect()) == [(0, 9), (1, 9)]
