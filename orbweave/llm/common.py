@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The bytes that separate words (space, tab to carriage return).
-ASCII_SPACE = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+from orbweave.functions.store import Scratch, settled
 
-    Only where the session has none (tests) a temporary folder is set.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="orbweave-"))
-    return context.getCheckpointDir()
+__all__ = ["Scratch", "settled", "documents_of", "let", "space_words", "cut_by"]
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again.
-
-    This cuts the lineage, survives lost executors, and tells the planner the true size.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: The bytes that separate words (space, tab to carriage return).
+ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
