@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import cut_by, documents_of, let
+from orbweave.llm.common import cut_by, documents_of, let, sums_before
 
 #: The shapes of the base kinds.
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
@@ -33,7 +33,7 @@ UNIT = 1_000_000
 ALLOWED = [
     r"^[A-Za-z]+$",
     r"^[0-9]+$",
-    r"^[A-Za-z]+(?:[-_/+=]+[A-Za-z]*)*$",
+    r"^[A-Za-z][A-Za-z_/+=-]*$",
     r"(?i)example|placeholder|changeme|sample",
     r"(?i)abcdefghijkl|0123456789abcdef",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -43,15 +43,21 @@ ALLOWED = [
 def places(text: Column, pattern: str) -> Column:
     """array<struct<start, end, said>> of the matches, left to right, in code points."""
     before, found = cut_by(text, pattern)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,said:string>>").alias("out"))
+    length = lambda a: F.transform(a, F.length)
 
-    def step(s: Column, p: Column) -> Column:
-        begin = s["at"] + F.length(p["b"])
-        end = begin + F.length(p["f"])
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), p["f"].alias("said")))
-        return F.struct(end.alias("at"), F.concat(s["out"], one).alias("out"))
+    def of(c: Column) -> Column:
+        each = F.zip_with(length(c["before"]), length(c["found"]), lambda b, f: b + f)
 
-    return F.aggregate(F.zip_with(before, found, lambda b, f: F.struct(b.alias("b"), f.alias("f"))), start, step, lambda s: s["out"])
+        def placed(last: Column) -> Column:
+            def one(said: Column, i: Column) -> Column:
+                begin = F.get(last, i) + F.length(F.get(c["before"], i))
+                return F.struct(begin.alias("start"), (begin + F.length(said)).alias("end"), said.alias("said"))
+
+            return F.transform(c["found"], one)
+
+        return let(sums_before(each), placed)
+
+    return let(F.struct(before.alias("before"), found.alias("found")), of)
 
 
 def character_class(x: Column) -> Column:
