@@ -9,7 +9,7 @@ expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.common import cut_by, let
@@ -17,7 +17,8 @@ from orbweave.llm.common import cut_by, let
 ROUNDS = 8
 
 #: What each kind looks like, in the order in which they are tried.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: A host has at most 127 labels of at most 63 characters: a repeated group costs stack for each.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}"
 #: A plus and 8 to 15 digits; where the country code says how many digits follow, as many as that.
 _PHONE_LENGTHS = {8: "45|47", 9: "31|33|34|41|48|61|351", 10: "[17]|44|52|91", 11: "86"}
 _PHONE_KNOWN = [rf"(?:{codes})(?:[ .-]?[()]?[ .-]?[0-9]){{{n}}}" for n, codes in _PHONE_LENGTHS.items()]
@@ -42,6 +43,11 @@ ANY = "|".join([EMAIL, PHONE, IBAN, DATE, SSN, IPV4, RUN])
 FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1800-01-01", 189, 773
 
 
+def key_of(spark: SparkSession) -> str:
+    """The session's key, from ``spark.orbweave.pii.key``; the shared tables are invented and need none."""
+    return spark.conf.get("spark.orbweave.pii.key", "invented tables")
+
+
 def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: str, tag: str) -> Column:
     """A keyed permutation of the pairs (left < left_size, right < right_size), as a struct(l, r)."""
 
@@ -150,19 +156,30 @@ def _in_run(x: Column, key: str) -> Column:
                 small = let(other, lambda v: F.when(v.isNotNull(), F.struct(F.lit(3).alias("n"), three.alias("old"), v.alias("new"))))
                 return F.coalesce(small, card)
 
-            def grown(c: Column) -> Column:
-                whole = F.array_join(F.slice(groups, i + 1, F.coalesce(c["n"], F.lit(1))), "")
-                return F.struct(
-                    F.concat(s["text"], F.when(c.isNull(), whole).otherwise(F.concat(c["new"], whole.substr(F.length(c["old"]) + 1, F.length(whole))))).alias("text"),
-                    (s["n"] + F.when(c["new"] != c["old"], 1).otherwise(0)).alias("n"),
-                    (i + F.coalesce(c["n"], F.lit(1))).alias("next"),
-                )
+            def replaced(c: Column) -> Column:
+                one = F.array(F.struct(i.alias("at"), c["n"].alias("n"), c["old"].alias("old"), c["new"].alias("new")))
+                return F.when(c.isNull(), s).otherwise(F.struct(F.concat(s["out"], one).alias("out"), (i + c["n"]).alias("next")))
 
             ahead = F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i)), lambda n: span(i, n))
-            return F.when(i < s["next"], s).otherwise(let(let(ahead, chosen), grown))
+            return F.when(i < s["next"], s).otherwise(let(let(ahead, chosen), replaced))
+
+        def told(out: Column) -> Column:
+            """The groups between the replaced ones, and these with what follows their digits."""
 
-        start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(0).alias("next"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n")))
+            def part(r: Column, k: Column) -> Column:
+                last = F.get(out, k - 1)
+                begin = F.coalesce(last["at"] + last["n"], F.lit(0))
+                whole = F.array_join(F.slice(groups, r["at"] + 1, r["n"]), "")
+                return F.concat(F.array_join(F.slice(groups, begin + 1, r["at"] - begin), ""), r["new"], whole.substr(F.length(r["old"]) + 1, F.length(whole)))
+
+            last = F.get(out, F.size(out) - 1)
+            done = F.coalesce(last["at"] + last["n"], F.lit(0))
+            rest = F.array_join(F.slice(groups, done + 1, F.size(groups) - done), "")
+            return F.struct(F.concat(F.array_join(F.transform(out, part), ""), rest).alias("text"), F.size(F.filter(out, lambda r: r["new"] != r["old"])).alias("n"))
+
+        none = F.array().cast("array<struct<at:int,n:int,old:string,new:string>>")
+        start = F.struct(none.alias("out"), F.lit(0).alias("next"))
+        return let(F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda s: s["out"]), told)
 
     return let(F.regexp_extract_all(x, F.lit("[0-9]+[ -]*"), 0), of)
 
@@ -219,8 +236,16 @@ def _phone(x: Column, key: str) -> Column:
 
 
 def _ssn(x: Column, key: str) -> Column:
+    """Areas run from 001 to 899 without 666, groups from 01, serials from 0001: the places of the
+    sound numbers among themselves are permuted, so that a pseudonym is sound too."""
     sound = ~x.rlike("^(000|666|9)") & ~x.rlike("^...-00") & ~x.rlike("0000$")
-    return F.when(sound, _filled(x, permuted_digits(_only(x, "-"), key, "ssn"))).otherwise(x)
+    part = lambda at, n: x.substr(at, n).cast("int")
+    area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)
+    new = let(
+        feistel(area, (part(5, 2) - 1) * 9999 + part(8, 4) - 1, F.lit(898), F.lit(99 * 9999), key, "ssn"),
+        lambda s: F.format_string("%03d-%02d-%04d", s["l"] + F.when(s["l"] > 664, 2).otherwise(1), F.floor(s["r"] / 9999) + 1, s["r"] % 9999 + 1),
+    )
+    return F.when(sound, new).otherwise(x)
 
 
 def _ipv4(x: Column, key: str) -> Column:
@@ -273,12 +298,13 @@ def pseudonym(x: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, *, key: str = "orbweave", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with every personal value of its text replaced; all other columns stay.
 
     ``count_col`` names a further column for the number of replaced values.  Null and
     empty texts stay.  Each row is treated alone, so repeated rows give repeated rows.
-    Equal values give equal pseudonyms under one ``key``.
+    Equal values give equal pseudonyms under one ``key``, which is the secret: who has it can
+    invert the permutations.
     """
     before, found = cut_by(F.col(text_col), ANY)
     names = [f"__pii_{n}__" for n in ("before", "found", "new")]

@@ -72,7 +72,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), count_col="n_replaced")
+    return pii.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), key=pii.key_of(spark), count_col="n_replaced")
 
 
 def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
