@@ -24,9 +24,10 @@ class TiffError(ValueError):
     """What is not a readable TIFF says why."""
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, need: int) -> bytes:
+    """Runs and literals, until ``need`` bytes are there."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < need:
         k = data[i]
         i += 1
         if k < 128:
@@ -58,11 +59,13 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bits first; the width grows one code early."""
+def lzw_decode(data: bytes, need: int) -> bytes:
+    """Codes of 9 to 12 bits, high bits first; the width grows one code early.  It ends with ``need`` bytes."""
     table = [bytes((i,)) for i in range(256)] + [b"", b""]
-    out, bits, held, width, last = [], 0, 0, 9, b""
+    out, bits, held, width, last, size = [], 0, 0, 9, b"", 0
     for byte in data:
+        if size >= need:
+            break
         held = (held << 8 | byte) & 0xFFFFFFF
         bits += 8
         if bits < width:
@@ -82,7 +85,8 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise TiffError("LZW code out of range")
         out.append(entry)
-        if last:
+        size += len(entry)
+        if last and len(table) < 4096:
             table.append(last + entry[:1])
         last = entry
         if len(table) + 1 >= 1 << width and width < 12:
@@ -131,16 +135,19 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _decompressed(data: bytes, scheme: int) -> bytes:
+#: How many bytes a stored byte can stand for at most, by scheme.
+MOST = {NONE: 1, PACKBITS: 64, LZW: 2600, DEFLATE: 1033, OLD_DEFLATE: 1033}
+
+
+def _decompressed(data: bytes, scheme: int, need: int) -> bytes:
+    """The first ``need`` bytes that a strip or tile spells, or few more."""
     if scheme == NONE:
         return data
     if scheme == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, need)
     if scheme == LZW:
-        return lzw_decode(data)
-    if scheme in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
-    raise TiffError(f"compression {scheme} is not supported")
+        return lzw_decode(data, need)
+    return zlib.decompressobj().decompress(data, need)
 
 
 def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, tuple], int]:
@@ -163,8 +170,10 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> dict:
     one = lambda t, usual=None: tags.get(t, (usual,))[0]
     width, height, samples, scheme = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(COMPRESSION, NONE)
     bits, planar, predictor = one(BITS, 1), one(PLANAR, 1), one(PREDICTOR, 1)
-    if not width or not height:
+    if not width or not height or not samples:
         raise TiffError("a page has no size")
+    if scheme not in MOST:
+        raise TiffError(f"compression {scheme} is not supported")
     if bits not in (1, 2, 4, 8, 16) or any(b != bits for b in tags.get(BITS, ())):
         raise TiffError(f"{bits} bits a sample are not supported")
     if predictor not in (1, 2) or (predictor == 2 and bits < 8):
@@ -174,17 +183,24 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> dict:
     tiled = TILE_OFFSETS in tags
     w, h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     places, lengths = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
+    if not w or not h:
+        raise TiffError("a strip or tile has no size")
     across, down = -(-width // w), -(-height // h)
-    if len(places) < planes * across * down:
+    count = planes * across * down
+    if min(len(places), len(lengths)) < count:
         raise TiffError("strips or tiles are missing")
+    line = w * depth * kind.itemsize if bits >= 8 else -(-w * depth * bits // 8)
+    stored = [min(lengths[k], max(len(data) - places[k], 0)) for k in range(count)]
+    # Nothing is made of the declared size before the file is seen to hold that much.
+    if any(n * MOST[scheme] < (h if tiled else min(h, height - k % down * h)) * line for k, n in enumerate(stored)):
+        raise TiffError("a strip or tile is too short")
     image = np.zeros((planes, height, width, depth), kind.newbyteorder("="))
-    for k in range(planes * across * down):
+    for k in range(count):
         p, rest = divmod(k, across * down)
         y, x = rest // across * h, rest % across * w
         rows = h if tiled else min(h, height - y)
-        raw = _decompressed(data[places[k] : places[k] + lengths[k]], scheme)
-        line = w * depth * kind.itemsize if bits >= 8 else -(-w * depth * bits // 8)
         need = rows * line
+        raw = _decompressed(data[places[k] : places[k] + stored[k]], scheme, need)
         if len(raw) < need:
             raise TiffError("a strip or tile is too short")
         if bits < 8:
@@ -201,7 +217,7 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> dict:
     return {"width": width, "height": height, "samples": samples, "bits": bits, "compression": scheme, "predictor": predictor, "pixels": pixels.tobytes()}
 
 
-_DAMAGE = (TiffError, struct.error, zlib.error, KeyError, TypeError, ValueError, IndexError, MemoryError)
+_DAMAGE = (TiffError, struct.error, zlib.error, KeyError, TypeError, ValueError, IndexError, ArithmeticError, MemoryError)
 
 
 def tiff_pages(data: bytes) -> Iterator[dict]:
