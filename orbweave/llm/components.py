@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import settled
+from orbweave.llm.common import Scratch, settled
 
 
-def _stars(edges: DataFrame, *, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, settled, *, large: bool) -> DataFrame:
     """One contraction: neighbours of each node are hung on its smallest neighbour.
 
     Minima are taken before the shuffle and joined back, so that the hub of a large
@@ -34,17 +34,19 @@ def _is_settled(edges: DataFrame) -> bool:
     return each.where("hangs > 1 or (hangs > 0 and holds > 0)").isEmpty()
 
 
-def components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None, *, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): component is the smallest node reachable.
 
     Nodes are of any ordered type.  Self-links, repeated links and links with a null are
-    ignored.  The number of rounds grows with the logarithm of the longest chain."""
+    ignored.  Intermediate tables, which the result reads, go to ``scratch`` where it is given.
+    The number of rounds grows with the logarithm of the longest chain."""
+    keep = scratch.settled if scratch else settled
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = settled(edges)
+    edges = keep(edges)
     for _ in range(max_rounds):
         if _is_settled(edges):
             break
-        edges = settled(_stars(_stars(edges, large=True), large=False).distinct())
+        edges = keep(_stars(_stars(edges, keep, large=True), keep, large=False).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

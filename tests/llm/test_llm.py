@@ -65,6 +65,40 @@ def test_ngram_join_is_brute_force(spark, large):
     assert len(rows) == len(texts)
 
 
+@pytest.mark.parametrize(("seed", "large"), [(20, 2), (21, 5)])
+def test_ngram_join_of_short_texts_with_shared_lines(spark, seed, large):
+    """Boilerplate beside few own words: groups are large, most pairs just miss the threshold."""
+    rng = np.random.default_rng(seed)
+    lines = [prose(rng, n).split() for n in (10, 6, 14, 25)]
+    texts = []
+    for _ in range(160):
+        w = list(lines[rng.integers(4)])
+        if rng.random() < 0.4:
+            w += lines[rng.integers(4)]
+        w += prose(rng, rng.integers(0, 7)).split()
+        for k in rng.integers(0, len(w), rng.integers(0, 2)):
+            w[k] = "q" + str(rng.integers(0, 9))
+        texts.append(" ".join(w))
+    root, sizes = brute_components(texts)
+    assert len(set(root)) > 20
+    rows = ngram_join.jaccard_components(docs_of(spark, texts), large=large, block=4, hot=3, held=200).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in rows} == {i: (root[i], sizes[i]) for i in range(len(texts))}
+
+
+def test_ngrams_of_shared_lines_are_not_led():
+    """Ten shared words and two of one's own: the shared n-grams generate no pair."""
+    rng = np.random.default_rng(22)
+    line = prose(rng, 10)
+    sets = [ngram_join.shingles(f"{line} a{i} b{i}") for i in range(3000)]
+    counts = np.bincount(np.concatenate(sets) >> np.uint64(64 - ngram_join.SKETCH_BITS), minlength=1 << ngram_join.SKETCH_BITS)
+    shared = set(ngram_join.shingles(line).tolist())
+    led = []
+    for s in sets:
+        h, _, _, lead = ngram_join.prefix_of(s, counts, 1, 75)
+        led += [x in shared for x in h[:lead].tolist()]
+    assert len(shared) == 6 and sum(led) < len(led) / 100
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.jaccard_components(docs_of(spark, ["x"]).where("false")).count() == 0
 
