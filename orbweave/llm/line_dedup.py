@@ -12,8 +12,9 @@ def dedup_lines(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text
     """Remove every later occurrence of a run of ``width`` lines.
 
     Consecutive lines are hashed (128 bits) in overlapping windows; of the places of a
-    window, the one with the smallest (doc_id, line) stays, and the lines that any other
-    place covers go.  Windows of white space alone do not count.
+    window, the one with the smallest (doc_id, line) is kept.  The lines that any other place
+    covers go, but for those of a kept place: a copy of every repeated window stays whole
+    (``p p p p`` becomes ``p p p``).  Windows of white space alone do not count.
 
     Returns doc_id, n_lines, n_removed (long) and text (string).  A text of fewer lines
     than ``width`` stays as it is; a null text stays null with 0 lines; an empty one has
@@ -54,12 +55,14 @@ def dedup_lines(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text
     )
     covered = (
         windows.join(repeated, ["a", "b"])
-        .where(~F.struct("doc_id", "line").eqNullSafe(F.col("first")))
+        .withColumn("again", ~F.struct("doc_id", "line").eqNullSafe(F.col("first")))
         .groupBy("doc_id")
-        .agg(F.collect_set("line").alias("starts"))
+        .agg(F.collect_set(F.when(F.col("again"), F.col("line"))).alias("starts"), F.collect_set(F.when(~F.col("again"), F.col("line"))).alias("firsts"))
+        .where(F.size("starts") > 0)
     )
-    gone = covered.select(F.col("doc_id").alias("gone_id"), "starts")
-    merged = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (width - 1)))))
+    gone = covered.select(F.col("doc_id").alias("gone_id"), "starts", "firsts")
+    spread = lambda c: F.flatten(F.transform(c, lambda s: F.sequence(s, s + (width - 1))))
+    merged = F.array_except(spread("starts"), spread("firsts"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("covered"))
     return (
         rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
