@@ -79,11 +79,13 @@ def soft_failed():
     return (10 * F.col("n_symbols") > F.col("word_chars")) | (3 * F.col("n_repeat_words") > F.col("n_words")) | (F.col("n_words") == 0)
 
 
-def host_verdicts(measures: DataFrame, *, max_rate: float = 0.5) -> DataFrame:
+def host_verdicts(measures: DataFrame, *, spread: float = 1.0) -> DataFrame:
     """host, n_docs, n_failed, rate (shrunk) and rejected, one row per host.
 
     The prior beta(a, b) has the mean and variance of the hosts' own rates, weighted by
-    documents; where they do not differ, it weighs as much as the mean host."""
+    documents; where they do not differ, it weighs as much as the mean host.  A host is
+    rejected whose shrunk rate lies more than ``spread`` standard deviations of the prior
+    above its mean: few documents pull a rate little, so a small host needs more failures."""
     failed = (base_failed() | soft_failed()).cast("long")
     hosts = measures.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(failed).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
@@ -102,10 +104,11 @@ def host_verdicts(measures: DataFrame, *, max_rate: float = 0.5) -> DataFrame:
     )
     shrunk = (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
     # The prior is one row by construction.
-    return hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", shrunk.alias("rate"), (shrunk > max_rate).alias("rejected"))
+    most = F.col("mean") + spread * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
+    return hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", shrunk.alias("rate"), (shrunk > most + 1e-12).alias("rejected"))
 
 
-def apply_quality_rules(docs: DataFrame, *, max_rate: float = 0.5, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply_quality_rules(docs: DataFrame, *, spread: float = 1.0, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The measures of each row with base_failed, host_rate, host_rejected and kept.
 
     Dropped are documents that fail the base rules, and those of a rejected host that fail
@@ -113,7 +116,7 @@ def apply_quality_rules(docs: DataFrame, *, max_rate: float = 0.5, host_col: str
     own.  Repeated rows are measured and counted each.  Null and empty texts fail.
     """
     measures = settled(rule_measures(docs, host_col=host_col, id_col=id_col, text_col=text_col))
-    verdicts = settled(host_verdicts(measures, max_rate=max_rate)).select(F.col("host").alias("of"), F.col("rate").alias("host_rate"), F.col("rejected").alias("host_rejected"))
+    verdicts = settled(host_verdicts(measures, spread=spread)).select(F.col("host").alias("of"), F.col("rate").alias("host_rate"), F.col("rejected").alias("host_rejected"))
     joined = measures.join(verdicts, F.col("host").eqNullSafe(F.col("of")), "left").drop("of")
     return joined.select(
         "doc_id",

@@ -134,9 +134,11 @@ windows AS (
   SELECT doc_id, p, l[p + 1 : p + 3] AS h FROM windows
   WHERE regexp_matches(array_to_string(l[p + 1 : p + 3], ''), '[^\x20\x09-\x0D]')
 ), firsts AS (SELECT h, min((doc_id, p)) AS f FROM hashed GROUP BY h HAVING count(*) > 1),
+marked AS (SELECT doc_id, p, (doc_id, p) <> f AS again FROM hashed JOIN firsts USING (h)),
+covered AS (SELECT doc_id, unnest([p, p + 1, p + 2]) AS p, again FROM marked),
 gone AS (
-  SELECT doc_id, list_distinct(flatten(list([p, p + 1, p + 2]))) AS c
-  FROM hashed JOIN firsts USING (h) WHERE (doc_id, p) <> f GROUP BY doc_id
+  SELECT doc_id, list(p) AS c
+  FROM (SELECT doc_id, p FROM covered GROUP BY doc_id, p HAVING bool_and(again)) GROUP BY doc_id
 )
 SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(c), 0)::BIGINT AS n_removed,
   CASE WHEN c IS NULL THEN text
@@ -165,9 +167,9 @@ WITH base AS (
 ), hosts AS (SELECT host, count(*) AS d, sum((base_failed OR soft_failed)::BIGINT) AS f FROM judged GROUP BY host),
 prior AS (SELECT sum(f)::DOUBLE / sum(d) AS m, sum(d * (f::DOUBLE / d) * (f::DOUBLE / d)) / sum(d) AS q, avg(d) AS docs FROM hosts),
 weighted AS (SELECT m, CASE WHEN q - m * m > 1e-9 THEN greatest(m * (1 - m) / (q - m * m) - 1, 1.0) ELSE docs END AS k FROM prior),
-verdicts AS (SELECT host, (f + m * k) / (d + k) AS rate FROM hosts, weighted)
+verdicts AS (SELECT host, (f + m * k) / (d + k) AS rate, (f + m * k) / (d + k) > m + sqrt(m * (1 - m) / (k + 1)) + 1e-12 AS bad FROM hosts, weighted)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  (NOT base_failed AND NOT (rate > 0.5 AND soft_failed)) AS kept, j.host, rate > 0.5 AS host_rejected, round(rate, 9) AS host_rate
+  (NOT base_failed AND NOT (bad AND soft_failed)) AS kept, j.host, bad AS host_rejected, round(rate, 9) AS host_rate
 FROM judged j JOIN verdicts v ON j.host IS NOT DISTINCT FROM v.host
 """
 
