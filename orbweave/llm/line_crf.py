@@ -100,6 +100,16 @@ class Chain:
         p = np.clip(p, 1e-6, 1 - 1e-6)
         return np.log(p / (1 - p))
 
+    def line_marginals(self, texts: list[str | None]) -> list[np.ndarray]:
+        """P(good) of each line of each text."""
+        if not texts:
+            return []
+        parts = [document_features(t)[0] for t in texts]
+        sizes = np.array([len(x) for x in parts])
+        ends = np.cumsum(sizes)
+        good, _, _ = self.marginals(self.emissions(np.vstack(parts)), ends - sizes, sizes)
+        return np.split(good, ends[:-1])
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.empty(0)
@@ -179,3 +189,24 @@ def score_quality(docs: DataFrame, chain: Chain) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, "score", "predicted"])
 
     return kept.mapInArrow(run, schema)
+
+
+def label_lines(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, line, good, label): each line's number from 0, its marginal and whether that is
+    at least a half.  A null or empty text is one empty line; repeated rows are labelled each."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = StructType([rows.schema["doc_id"], StructField("line", IntegerType()), StructField("good", DoubleType()), StructField("label", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                goods = chain.line_marginals(part.column(1).to_pylist())
+                sizes = np.array([len(g) for g in goods])
+                good = np.concatenate(goods)
+                line = np.arange(len(good)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(np.repeat(np.arange(len(goods)), sizes))), pa.array(line, pa.int32()), pa.array(good), pa.array((good >= 0.5).astype(np.int32))], names=["doc_id", "line", "good", "label"]
+                )
+
+    return rows.mapInArrow(run, schema)
