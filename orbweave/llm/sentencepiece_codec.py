@@ -3,11 +3,14 @@
 Each batch's distinct marked words are sorted, which is the order of a depth-first walk of
 their trie; the forward states of a shared prefix are kept from one word to the next.
 
-The vocabulary at hand is a merge vocabulary (BPE), for which the best-scoring path is not
-the segmentation that merging gives.  The forward state of a prefix is therefore the last
-piece of that prefix's own segmentation: it is the one piece that ends there and follows
-its predecessor's state without merging differently, so it is found from the states of
-shorter prefixes, as in a Viterbi pass, and the result equals the merges exactly.
+For a unigram vocabulary the state of a prefix is the score of its best path and the last
+piece on it: Viterbi, with the scores reused across words that share the prefix.
+
+For a merge vocabulary (BPE) the best-scoring path is not the segmentation that merging
+gives.  There the state of a prefix is the last piece of that prefix's own segmentation: it
+is the one piece that ends there and follows its predecessor's state without merging
+differently, so it is found from the states of shorter prefixes, as in a Viterbi pass, and
+the result equals the merges exactly.
 """
 
 from __future__ import annotations
@@ -24,13 +27,51 @@ MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
+#: Fixed values of the format: places in a model file, the kinds of models, and what an unknown character costs.
+TRAINER, NORMALIZER, MODEL_TYPE, CHARSMAP, REMOVE_SPACES = 2, 3, 3, 2, 4
+UNIGRAM, MERGES = 1, 2
+UNKNOWN_COST = 10.0
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a message's fields: integers, and the bytes of all others."""
+    at = 0
+
+    def integer() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = integer()
+        if key & 7 == 0:
+            yield key >> 3, integer()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or integer()
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
 class PieceModel:
-    """Pieces and scores of a model file, with the forward pass over them."""
+    """Pieces and scores of a model file, with the forward pass over them.
+
+    Unigram and merge vocabularies without a normalization of their own are read."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=path)
+        told = [(k, dict(_fields(v))) for k, v in _fields(p.serialized_model_proto()) if k in (TRAINER, NORMALIZER)]
+        self.kind = next((v.get(MODEL_TYPE, UNIGRAM) for k, v in told if k == TRAINER), UNIGRAM)
+        changes = next((v for k, v in told if k == NORMALIZER), {})
+        if self.kind not in (UNIGRAM, MERGES) or changes.get(CHARSMAP) or changes.get(REMOVE_SPACES, 1):
+            raise ValueError("only unigram and merge vocabularies that leave texts as they are")
         n = p.vocab_size()
         self.pieces = [p.id_to_piece(i) for i in range(n)]
         special = [p.is_unknown(i) or p.is_control(i) or p.is_unused(i) or p.is_byte(i) for i in range(n)]
@@ -43,6 +84,8 @@ class PieceModel:
         for piece in self.ids:
             self.longest[piece[-1]] = max(len(piece), self.longest.get(piece[-1], 1))
         self._stable: dict[tuple[str, str], bool] = {}
+        self.unknown = p.unk_id()
+        self.unknown_score = np.float32(np.float32(min(self.scores.values(), default=0.0)) - np.float32(UNKNOWN_COST))
 
     def merged(self, word: str) -> list[str]:
         """The segmentation by merges: the best-scoring pair of neighbours, the left one of equals, again and again."""
@@ -69,6 +112,40 @@ class PieceModel:
 
     def forward(self, words: list[str]) -> dict[str, list[str]]:
         """The segmentation of each word.  The words must be sorted."""
+        return self._best(words) if self.kind == UNIGRAM else self._merges(words)
+
+    def _best(self, words: list[str]) -> dict[str, list[str]]:
+        """Viterbi over the trie: the state of a prefix is its best score and the size of the last piece.
+
+        Of equal scores the longer last piece counts; scores are 32-bit numbers, as in the library."""
+        out, last = {}, ""
+        best, size_of = [np.float32(0)], [0]
+        for word in words:
+            k, most = 0, min(len(last), len(word))
+            while k < most and last[k] == word[k]:
+                k += 1
+            del best[k + 1 :], size_of[k + 1 :]
+            for end in range(k + 1, len(word) + 1):
+                score, chosen = None, 1
+                for size in range(min(self.longest.get(word[end - 1], 1), end), 0, -1):
+                    own = self.scores.get(word[end - size : end])
+                    if own is None:
+                        if size > 1:
+                            continue
+                        own = self.unknown_score
+                    total = best[end - size] + np.float32(own)
+                    if score is None or total > score:
+                        score, chosen = total, size
+                best.append(score)
+                size_of.append(chosen)
+            last, parts, end = word, [], len(word)
+            while end:
+                parts.append(word[end - size_of[end] : end])
+                end -= size_of[end]
+            out[word] = parts[::-1]
+        return out
+
+    def _merges(self, words: list[str]) -> dict[str, list[str]]:
         out, last, states = {}, "", [""]
         for word in words:
             k, most = 0, min(len(last), len(word))
@@ -97,13 +174,16 @@ class PieceModel:
         return out
 
     def ids_of(self, parts: list[str]) -> list[int]:
-        """Ids of pieces; what is no piece is spelt in its UTF-8 bytes."""
+        """Ids of pieces; what is no piece is spelt in its UTF-8 bytes, or unknown (once for
+        neighbours) where the vocabulary has no bytes."""
         out = []
         for p in parts:
             if (i := self.ids.get(p)) is not None:
                 out.append(i)
-            else:
+            elif self.bytes:
                 out += [self.bytes[b] for b in p.encode()]
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
         return out
 
     def decode(self, ids) -> str:

@@ -125,10 +125,37 @@ def test_line_dedup(spark):
     texts = EDGES + ["a\nb\nc\nd", "x\na\nb\nc\ny", "p\np\np\np", "a\nb\nq"]
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
     n = len(EDGES)
-    assert [got[n + k]["text"] for k in range(4)] == ["a\nb\nc\nd", "x\ny", "p", "a\nb\nq"]
+    assert [got[n + k]["text"] for k in range(4)] == ["a\nb\nc\nd", "x\ny", "p\np\np", "a\nb\nq"]
     assert [got[i]["text"] for i in range(n)] == EDGES and got[0]["n_lines"] == 0
 
 
+def test_line_dedup_keeps_a_copy_of_each_window(spark):
+    texts = ["a\nb\nc\nd", "b\nc\nd\ne\nf", "d\ne\nf\ng", "d\ne\nf\ng"]
+    docs = docs_of(spark, texts)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs.unionByName(docs.limit(1))).collect()}
+    assert got == {0: "a\nb\nc\nd", 1: "d\ne\nf", 2: "e\nf\ng", 3: ""}
+
+
+def test_host_verdicts(spark):
+    """A bad host is rejected, a small one with as bad a rate is saved by shrinkage, equal hosts stay."""
+    hosts = [(f"h{i}", 40, 4 + i % 3) for i in range(10)] + [("bad", 40, 14), ("small", 1, 1)]
+    table = lambda hosts: spark.createDataFrame([(h, 100 if k >= bad else 10, 100, 0, 0) for h, n, bad in hosts for k in range(n)], "host string, n_words long, word_chars long, n_symbols long, n_repeat_words long")
+    got = {r["host"]: (r["rejected"], r["rate"]) for r in quality_rules.host_verdicts(table(hosts)).collect()}
+    assert {h for h, (rejected, _) in got.items() if rejected} == {"bad"} and 0.13 < got["small"][1] < 0.3
+    equal = quality_rules.host_verdicts(table([(f"e{i}", 30, 3) for i in range(5)])).collect()
+    assert not any(r["rejected"] for r in equal)
+    assert not any(r["rejected"] for r in quality_rules.host_verdicts(table([("all", 9, 9), ("too", 3, 3)])).collect())
+
+
+def test_quality_rules_of_a_bad_host(spark):
+    """Of a rejected host, documents that fail the softer rules go and clean ones stay."""
+    rng = np.random.default_rng(13)
+    clean, soft, short = prose(rng, 80), " ".join(["##"] * 30 + [prose(rng, 50)]), "a b"
+    rows = [(i, clean if i % 10 else short, f"g{i % 8}") for i in range(400)] + [(1000 + i, short, "bad") for i in range(30)] + [(1100, clean, "bad"), (1101, soft, "bad"), (1102, soft, "g1")]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.apply_quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1100] and not got[1101] and got[1102] and got[1]
+
+
 def test_quality_rules(spark):
     rng = np.random.default_rng(2)
     texts = EDGES + [prose(rng, 80), "a b c d e " * 20, prose(rng, 60) + "\n" + "l m\nl m\n \n \n"]
@@ -268,6 +295,48 @@ def test_sentencepiece(spark):
         assert got[i]["ids"] == ids and got[i]["text"] == (None if t is None else p.decode(ids))
 
 
+def _message(*fields):
+    """A message of (number, value) fields: numbers, floats, and bytes."""
+    out = b""
+    for number, v in fields:
+        if isinstance(v, int):
+            out += bytes([number << 3, v])
+        elif isinstance(v, float):
+            out += bytes([number << 3 | 5]) + struct.pack("<f", v)
+        else:
+            assert len(v) < 128
+            out += bytes([number << 3 | 2, len(v)]) + v
+    return out
+
+
+def test_sentencepiece_viterbi_is_enumeration(spark, tmp_path):
+    """A small unigram vocabulary written by hand, against all segmentations and the library."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    pieces = {"▁": -3.0, "a": -2.5, "b": -2.75, "c": -3.5, "ab": -4.0, "bc": -3.25, "abc": -6.5, "▁a": -3.5, "▁ab": -5.0, "ca": -4.5, "cab": -5.5, "aa": -5.0}
+    body = b"".join(_message((1, _message((1, n.encode()), (2, v), (3, k)))) for n, v, k in [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(n, v, 1) for n, v in pieces.items()]])
+    path = str(tmp_path / "u.model")
+    with open(path, "wb") as file:
+        file.write(body + _message((2, _message((3, 1))), (3, _message((1, b"identity"), (3, 1), (4, 0), (5, 1)))))
+    rng = np.random.default_rng(14)
+    texts = [None, "", "abc", "aa x aa", "xx y", *["".join(rng.choice(list("aabbccx "), rng.integers(1, 12))) for _ in range(150)]]
+    model, p = sentencepiece_codec.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    got = {r["doc_id"]: r["ids"] for r in sentencepiece_codec.encode_pieces(docs_of(spark, texts), path).collect()}
+    assert [got[i] for i in range(len(texts))] == [None if t is None else p.encode(t) for t in texts]
+
+    def best(word):
+        cuts = []
+        for bits in range(1 << (len(word) - 1)):
+            ends = [k + 1 for k in range(len(word) - 1) if bits >> k & 1] + [len(word)]
+            parts = [word[a:b] for a, b in zip([0, *ends], ends)]
+            if all(x in pieces or len(x) == 1 for x in parts):
+                cuts.append(sum(pieces.get(x, min(pieces.values()) - 10) for x in parts))
+        return max(cuts)
+
+    words = sorted({w for t in texts for w in sentencepiece_codec.marked_words(t or "")})
+    for word, parts in model.forward(words).items():
+        assert "".join(parts) == word and sum(pieces.get(x, min(pieces.values()) - 10) for x in parts) == pytest.approx(best(word))
+
+
 @pytest.mark.parametrize("with_ids", [True, False])
 def test_packing(spark, with_ids):
     tokenizers = pytest.importorskip("tokenizers")
@@ -453,6 +522,13 @@ def test_crf_learns(spark):
     edges = line_crf.score_quality(docs_of(spark, EDGES), chain).collect()
     assert all(0 <= r["score"] <= 1 for r in edges)
     assert line_crf.train(docs, labels.where("false")).scores(["x"])[0] == 0.5
+    mixed = [texts[1] + "\n" + texts[0], None, ""]
+    lines = line_crf.label_lines(docs_of(spark, mixed), chain).orderBy("doc_id", "line").collect()
+    assert [(r["doc_id"], r["line"]) for r in lines] == [(0, k) for k in range(8)] + [(1, 0), (2, 0)]
+    assert lines[0]["label"] == 1 and lines[7]["label"] == 0
+    clashing = docs_of(spark, texts[:4]).withColumn("score", F.lit("s")).withColumn("predicted", F.lit("p"))
+    again = line_crf.score_quality(clashing.unionByName(clashing), chain).collect()
+    assert len(again) == 8 and all(isinstance(r["score"], float) and r["predicted"] in (0, 1) for r in again)
 
 
 @pytest.mark.parametrize("operator", [
