@@ -112,9 +112,12 @@ class Encoder:
 
 
 class Index:
-    """BM25 of a shard's token sequences for one of them as a query, all its terms counted."""
+    """BM25 of a shard's token sequences for some of them as queries, all terms counted.
 
-    def __init__(self, items: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    The ``dense`` terms of most sequences are a matrix, which is read for many queries at
+    once; all others are postings by term, of which a query reads those of its own."""
+
+    def __init__(self, items: list[np.ndarray], k1: float = 1.2, b: float = 0.75, dense: int = 1024):
         found = [np.unique(i, return_counts=True) for i in items]
         lengths = np.array([len(i) for i in items], np.int64)
         sizes = np.array([len(t) for t, _ in found], np.int64)
@@ -122,41 +125,53 @@ class Index:
         term = np.concatenate([t for t, _ in found]).astype(np.int64) if found else np.empty(0, np.int64)
         tf = np.concatenate([c for _, c in found]) if found else term
         df = np.bincount(term)
-        shared = df[term] > 1  # the others are of one sequence alone, and no pair's score has them
-        owner, self.term, tf = np.repeat(np.arange(self.n), sizes)[shared], term[shared], tf[shared]
-        self.docs, self.sizes = np.unique(owner, return_counts=True)
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = k1 * (1 - b + b * lengths / max(lengths.mean(), 1)) if self.n else lengths
-        self.weight = tf * (k1 + 1) / (tf + norm[owner]) * idf[self.term]
-        self.asked, self.each = np.zeros(len(df)), np.empty(len(self.term))
+        owner = np.repeat(np.arange(self.n), sizes)
+        weight = tf * (k1 + 1) / (tf + norm[owner]) * idf[term]
+        often = np.argsort(-df, kind="stable")[:dense]
+        self.column = np.full(len(df), -1)
+        self.column[often] = np.arange(len(often))
+        column = self.column[term]
+        self.matrix = np.zeros((self.n, len(often)))
+        self.matrix[owner[column >= 0], column[column >= 0]] = weight[column >= 0]
+        self.rows = np.arange(self.n)
+        rare = (column < 0) & (df[term] > 1)  # a term of one sequence alone is in no pair's score
+        order = np.argsort(term[rare], kind="stable")
+        self.docs, self.weights = owner[rare][order], weight[rare][order]
+        self.first = np.searchsorted(term[rare][order], np.arange(len(df) + 1))
 
     def leave(self, alive: np.ndarray) -> None:
-        """Once a quarter of the sequences is used up, its postings go."""
-        stay = alive[self.docs]
+        """Once a quarter of the sequences is used up, their rows of the matrix go."""
+        stay = alive[self.rows]
         if 4 * stay.sum() < 3 * len(stay):
-            kept = np.repeat(stay, self.sizes)
-            self.docs, self.sizes, self.term, self.weight = self.docs[stay], self.sizes[stay], self.term[kept], self.weight[kept]
-
-    def scores(self, item: np.ndarray) -> np.ndarray:
-        """The score of every sequence that is left."""
-        out = np.zeros(self.n)
-        if len(self.docs):
-            self.asked[item] = 1
-            each = np.take(self.asked, self.term, out=self.each[: len(self.term)], mode="clip")
-            each *= self.weight
-            out[self.docs] = np.add.reduceat(each, np.cumsum(self.sizes) - self.sizes)
-            self.asked[item] = 0
-        return out
-
-
-def pack_shard(lengths: list[int], items: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
+            self.rows, self.matrix = self.rows[stay], self.matrix[stay]
+
+    def scores(self, items: list[np.ndarray]) -> np.ndarray:
+        """The score of every sequence that is left for each of ``items`` (queries x sequences)."""
+        terms = [np.unique(i) for i in items]
+        asked = np.zeros((self.matrix.shape[1], len(items)))
+        for q, t in enumerate(terms):
+            column = self.column[t]
+            asked[column[column >= 0], q] = 1
+        out = np.zeros((len(items), self.n))
+        out[:, self.rows] = (self.matrix @ asked).T
+        for q, t in enumerate(terms):
+            begin, size = self.first[t], self.first[t + 1] - self.first[t]
+            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            out[q] += np.bincount(self.docs[at], self.weights[at], minlength=self.n)
+        return np.round(out, 9)  # sums of the same terms in another order are a tie
+
+
+def pack_shard(lengths: list[int], items: list[np.ndarray], window: int, ahead: int = 32, some: int = 64) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start, length); each id of each item stands in exactly one.
 
     ``items`` are the terms that retrieval goes by, all of each sequence, however much of
     it is left to place.  Sequences of more than a window give whole windows first; every
     window but the last is full.  A window takes, from the whole ranking for its seed, the
     neighbours that fit as a whole, then the best of the others cut; where none with a
-    positive score is left, the longest rests go on."""
+    positive score is left, the longest rests go on.  ``ahead`` seeds are scored and ``some``
+    neighbours are ranked at a time; neither changes a window."""
     out, rests = [], []
     for i, n in enumerate(lengths):
         out += [[(i, s, window)] for s in range(0, n - window + 1, window)]
@@ -167,6 +182,7 @@ def pack_shard(lengths: list[int], items: list[np.ndarray], window: int) -> list
     start, left = np.array([r[1] for r in rests], np.int64), np.array([r[2] for r in rests], np.int64)
     order = np.argsort(-left, kind="stable")
     at, alive = 0, left.copy()  # alive: ids that are not placed
+    known: dict[int, np.ndarray] = {}
     while True:
         while at < len(order) and not alive[order[at]]:
             at += 1
@@ -182,18 +198,23 @@ def pack_shard(lengths: list[int], items: list[np.ndarray], window: int) -> list
             alive[k] -= n
             space -= n
 
-        place(seed, int(alive[seed]))
-        if space:
+        if seed not in known:
+            # The next seeds, as far as no window takes them before, are scored together.
+            next_seeds = [k for k in order[at : at + 4 * ahead].tolist() if alive[k]][:ahead]
             index.leave(alive > 0)
-            scores = index.scores(items[row[seed]])
-            near = np.flatnonzero((scores > 0) & (alive > 0))
-            near = near[np.argsort(-scores[near], kind="stable")]
-            while space and len(fit := near[alive[near] <= space]):
-                for k in fit[: np.searchsorted(np.cumsum(alive[fit]), space, side="right")]:
-                    place(k, int(alive[k]))
-                near = near[alive[near] > 0]
-            if space and len(near):  # longer than what is free
-                place(near[0], space)
+            known = dict(zip(next_seeds, index.scores([items[row[k]] for k in next_seeds]), strict=True))
+        scores = known[seed]
+        place(seed, int(alive[seed]))
+        near = (scores > 0) & (alive > 0)
+        while space and len(fit := np.flatnonzero(near & (alive <= space))):
+            if len(fit) > some:  # the best of them first, with all that tie with the last
+                fit = fit[scores[fit] >= np.partition(scores[fit], -some)[-some]]
+            fit = fit[np.argsort(-scores[fit], kind="stable")]
+            for k in fit[: np.searchsorted(np.cumsum(alive[fit]), space, side="right")].tolist():
+                place(k, int(alive[k]))
+            near &= alive > 0
+        if space and near.any():  # all are longer than what is free
+            place(int(np.argmax(np.where(near, scores, 0))), space)
         while space:
             while at < len(order) and not alive[order[at]]:
                 at += 1
