@@ -9,10 +9,13 @@ enough of its template.  Short phrases must stand whole on one diagonal.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.llm.common import documents_of
+from orbweave.llm.license_texts import TEXTS
 
 #: Fixed values: (label, phrase); each must stand word for word.
 PHRASES = [
@@ -20,19 +23,32 @@ PHRASES = [
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 ]
-#: Fixed values: (label, notice); enough of each must stand.
-NOTICES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl-3", "gnu general public license version 3"),
-    ("gpl-2", "gnu general public license version 2"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike"),
-]
 #: Fixed value: what stands between words, after A-Z is lower case.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text, A-Z lowered and no other letter."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), BETWEEN_WORDS), "")
+
+
+def plain_words(text: str) -> str:
+    """The same words of a template, with a space between them."""
+    return " ".join(re.split(BETWEEN_WORDS, text.translate(str.maketrans(_UPPER, _LOWER)))).strip()
+
+
+#: (label, words); enough of each must stand.
+NOTICES = [(label, plain_words(text)) for label, text in TEXTS]
+
+
+def folder_templates(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(label, words) of every text file of a folder, one whole license each, labelled by the file's name.
+
+    For ``notices``: a list of licenses, which is of a size of its own and not the corpus's."""
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[A-Za-z]+)?$", 1).alias("label"), F.array_join(words_of(F.col("value")), " ").alias("words"))
+    return sorted((r["label"].lower(), r["words"]) for r in files.collect())
 
 
 def template_grams(spark: SparkSession, phrases=PHRASES, notices=NOTICES, k: int = K) -> DataFrame:
@@ -72,7 +88,7 @@ def scan_licenses(
     spark = docs.sparkSession
     words = docs.transform(documents_of, id_col, text_col).select(
         "doc_id",
-        F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), BETWEEN_WORDS), "").alias("words"),
+        words_of(F.col("text")).alias("words"),
     )
     grams = words.select(
         "doc_id",
@@ -83,7 +99,7 @@ def scan_licenses(
     )
     places = grams.select("doc_id", "words", "n_words", F.posexplode_outer("grams").alias("pos", "h"))
     table = template_grams(spark, phrases, notices, k)
-    # The templates are a fixed list of a few hundred rows at most, so the join never shuffles the text.
+    # The templates are a fixed list, so the join never shuffles the text.
     joined = places.join(F.broadcast(table), "h", "left")
     same = F.slice("words", F.col("pos") + 1, k) == F.col("gram")
     votes = (

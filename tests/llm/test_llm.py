@@ -109,7 +109,7 @@ def test_components(spark):
 
 
 def test_licenses(spark):
-    grant = license_scan.NOTICES[0][1].split()
+    grant = license_scan.NOTICES[1][1].split()
     texts = EDGES + ["Released under the MIT License. under the mit license", "Apache License, Version 2.0", "CC BY-NC 4.0", "GNU General Public License, version 3.", " ".join(grant[:9] + ["very"] + grant[9:]), "under the mit"]
     per, spans = license_scan.scan_licenses(docs_of(spark, texts))
     got = {r["doc_id"]: r for r in per.collect()}
@@ -121,6 +121,31 @@ def test_licenses(spark):
     assert got[0]["n_words"] == 0 and spans.count() == 6
 
 
+def test_whole_licenses(spark, tmp_path):
+    """Each template is found in running text, in the notice's own case, and with a few words changed."""
+    rng = np.random.default_rng(15)
+    edited = []
+    for label, text in license_scan.TEXTS:
+        w = text.split()
+        if len(w) > 60:
+            for k in rng.choice(len(w), 2, replace=False):
+                w[k] = w[k] + " very" if k % 2 else "some"
+        edited.append((label, prose(rng, 30) + "\n" + " ".join(w) + "\n" + prose(rng, 30)))
+    texts = [t for _, t in edited] + ["\u212aelvin under the m\u0130t license", prose(rng, 200)]
+    docs = docs_of(spark, texts)
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs.unionByName(docs))[0].collect()}
+    for i, (label, _) in enumerate(edited):
+        assert label in got[i]["labels"].split(","), (label, got[i]["labels"])
+    n = len(edited)
+    assert got[n]["labels"] == "" and got[n]["n_words"] == 5 and got[n + 1]["labels"] == "" and len(got) == len(texts)
+    assert [got[i]["labels"] for i, (label, _) in enumerate(edited) if label == "bsd-2"] == ["bsd,bsd-2"]
+    (tmp_path / "My-License.txt").write_text("Do as you like, but keep this notice with every copy that you give away.")
+    own = license_scan.folder_templates(spark, str(tmp_path))
+    assert own == [("my-license", "do as you like but keep this notice with every copy that you give away")]
+    found = license_scan.scan_licenses(docs_of(spark, ["x Do as you like, but keep THIS notice with every copy that you give away y"]), notices=own)[0].first()
+    assert found["labels"] == "my-license" and found["base_labels"] == "" and found["score"] == 1.0
+
+
 def test_line_dedup(spark):
     texts = EDGES + ["a\nb\nc\nd", "x\na\nb\nc\ny", "p\np\np\np", "a\nb\nq"]
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
