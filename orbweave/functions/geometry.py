@@ -104,6 +104,29 @@ def quantized(v: Column) -> Column:
     return F.floor(F.least(F.greatest((v + 1) / 2, F.lit(0.0)), F.lit(1.0)) * 4294967295.0 + 0.5).cast("long")
 
 
+def dequantized(q: Column) -> Column:
+    """The ordinate of 32 bits."""
+    return q / 4294967295.0 * 2 - 1
+
+
+def added(a: list, b: list) -> list[Column]:
+    return [p + q for p, q in zip(a, b, strict=True)]
+
+
+def subtracted(a: list, b: list) -> list[Column]:
+    return [p - q for p, q in zip(a, b, strict=True)]
+
+
+def scaled(a: list, by) -> list[Column]:
+    return [p * by for p in a]
+
+
+def centroid(path: Column) -> Column:
+    """struct(x, y, z, m): the mean of an array of points; NaN ordinates count as 0, no points as the origin."""
+    mean = lambda c: F.when(F.size(path) > 0, F.aggregate(path, F.lit(0.0), lambda s, p: s + F.nanvl(p[c], F.lit(0.0))) / F.size(path)).otherwise(0.0)
+    return F.struct(*[mean(c).alias(c) for c in AXES])
+
+
 def magnitude(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, a: s + a.cast("double") * a.cast("double")))
 
@@ -130,3 +153,61 @@ def path_length(path: Column) -> Column:
     """Planar length of an array of points."""
     steps = F.zip_with(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))), F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))), lambda a, b: F.sqrt(_apart(a["x"], b["x"]) + _apart(a["y"], b["y"])))
     return F.aggregate(steps, F.lit(0.0), lambda s, d: s + d)
+
+
+def _segments(path: Column) -> Column:
+    """array<struct<a, b>> of neighbouring points."""
+    n = F.greatest(F.size(path) - 1, F.lit(0))
+    return F.zip_with(F.slice(path, F.lit(1), n), F.slice(path, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def path_centre(path: Column) -> Column:
+    """struct(x, y): the planar centre of a line, its segments weighted by length; of points, their mean."""
+    parts = F.transform(
+        _segments(path), lambda s: F.struct(F.sqrt(_apart(s["a"]["x"], s["b"]["x"]) + _apart(s["a"]["y"], s["b"]["y"])).alias("w"), ((s["a"]["x"] + s["b"]["x"]) / 2).alias("x"), ((s["a"]["y"] + s["b"]["y"]) / 2).alias("y"))
+    )
+    long = path_length(path)
+    line = lambda c: F.aggregate(parts, F.lit(0.0), lambda t, p: t + p["w"] * p[c]) / long
+    mean = lambda c: F.aggregate(path, F.lit(0.0), lambda t, p: t + p[c]) / F.size(path)
+    return F.struct(*[F.when(long > 0, line(c)).when(F.size(path) > 0, mean(c)).alias(c) for c in "xy"])
+
+
+def path_kind(path: Column) -> Column:
+    """POINT, LINESTRING, or null where there is none."""
+    return F.when(F.size(path) == 1, "POINT").when(F.size(path) > 1, "LINESTRING")
+
+
+def hausdorff(a: Column, b: Column) -> Column:
+    """The planar Hausdorff distance of two arrays of points."""
+    far = lambda p, q: F.array_max(F.transform(p, lambda s: F.array_min(F.transform(q, lambda t: F.sqrt(_apart(s["x"], t["x"]) + _apart(s["y"], t["y"]))))))
+    return F.greatest(far(a, b), far(b, a))
+
+
+def frechet(a: Column, b: Column) -> Column:
+    """The planar discrete Frechet distance: row by row of the table of least greatest steps."""
+    far = lambda p, q: F.sqrt(_apart(p["x"], q["x"]) + _apart(p["y"], q["y"]))
+
+    def row(last: Column, p: Column) -> Column:
+        def cell(done: Column, j: Column) -> Column:
+            reach = F.least(F.get(last, j), F.get(last, j - 1), F.get(done, j - 1))  # nulls are left out
+            return F.concat(done, F.array(F.greatest(far(p, F.get(b, j)), F.coalesce(reach, F.lit(0.0)))))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.array().cast("array<double>"), cell)
+
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(F.aggregate(a, F.array().cast("array<double>"), row), -1))
+
+
+def paths_cross(a: Column, b: Column) -> Column:
+    """Whether a segment of one path properly crosses one of the other."""
+    turn = lambda p, q, r: F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
+    cross = lambda s, t: (turn(s["a"], s["b"], t["a"]) * turn(s["a"], s["b"], t["b"]) < 0) & (turn(t["a"], t["b"], s["a"]) * turn(t["a"], t["b"], s["b"]) < 0)
+    return F.exists(_segments(a), lambda s: F.exists(_segments(b), lambda t: cross(s, t)))
+
+
+def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
+    """Whether a point lies in a polygon: a ray from it crosses an odd number of sides."""
+    odd = F.lit(0)
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
+        if ay != by:
+            odd = odd + F.when(((F.lit(ay) > y) != (F.lit(by) > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax), 1).otherwise(0)
+    return odd % 2 == 1

@@ -30,6 +30,37 @@ def composition_hash(children: Column) -> Column:
     return F.sha2(F.array_join(F.transform(children, lambda c: F.concat_ws("*", c["hash"], c["multiplicity"].cast("string"))), "|"), 256)
 
 
+def typed_composition_hash(children: Column, kind: Column) -> Column:
+    """Hash of a composition of one kind; each of struct(hash, multiplicity, is_constant) counts with its own kind."""
+    tags = F.array_join(F.transform(children, lambda c: F.when(c["is_constant"], "1").otherwise("0")), "")
+    return F.sha2(F.concat_ws(":", composition_hash(children), tags, kind.cast("string")), 256)
+
+
+def bytes_hash(content: Column) -> Column:
+    return F.sha2(content, 256)
+
+
+def first_difference(a: Column, b: Column) -> Column:
+    """The first place (from 0) at which two texts differ, null where they are equal.
+
+    Found by halving: a prefix of the least differing length is looked for in 31 steps."""
+    short = F.least(F.length(a), F.length(b))
+
+    def step(s: Column, _: Column) -> Column:
+        half = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        same = F.substring(a, F.lit(1), half) == F.substring(b, F.lit(1), half)
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(same, half).otherwise(s["lo"]).alias("lo"), F.when(same, s["hi"]).otherwise(half - 1).alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), short.cast("int").alias("hi"))
+    return F.when(a != b, F.aggregate(F.sequence(F.lit(0), F.lit(31)), start, step, lambda s: s["lo"]))
+
+
+def json_escaped(text: Column) -> Column:
+    """A text as a JSON string, quotes included."""
+    listed = F.to_json(F.array(text))
+    return listed.substr(F.lit(2), F.length(listed) - 2)
+
+
 def runs(values: DataFrame, key: str = "doc_id", array: str = "codes") -> DataFrame:
     """Run-length encoding of each row's array: (key, position, value, multiplicity).
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.geometry import project_code
+from orbweave.functions.store import settled
 from orbweave.functions.text import character, code_points, composition_hash, runs, seed_hash
 
 #: The kinds of constants.
@@ -39,28 +40,6 @@ def new_only(rows: DataFrame, store: DataFrame, key: str = "hash") -> DataFrame:
     return rows.dropDuplicates([key]).join(store.select(key), key, "left_anti")
 
 
-def byte_chunks(files: DataFrame, size: int = 4096) -> DataFrame:
-    """(id, chunk, position, value, multiplicity): the runs of each chunk of bytes."""
-    pieces = files.select("id", F.explode(F.when(F.length("content") > 0, F.sequence(F.lit(0), F.floor((F.length("content") - 1) / size).cast("int")))).alias("chunk"), "content").select(
-        F.struct("id", "chunk").alias("key"), F.expr(f"substring(content, chunk * {size} + 1, {size})").alias("part")
-    )
-    codes = F.transform(F.sequence(F.lit(1), F.length("part")), lambda i: F.conv(F.hex(F.substr(F.col("part"), i, F.lit(1))), 16, 10).cast("int"))
-    return runs(pieces.select("key", codes.alias("codes")), "key").select("key.id", "key.chunk", "position", "value", "multiplicity")
-
-
-def audio_frames(tracks: DataFrame, size: int = 1024) -> DataFrame:
-    """(id, frame, position, value, multiplicity): runs of samples + 32768, a frame at a time."""
-    frames = tracks.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / size).cast("int")), lambda k: F.slice("samples", k * size + 1, size))).alias("frame", "part"))
-    coded = frames.select(F.struct("id", "frame").alias("key"), F.transform("part", lambda s: s.cast("int") + 32768).alias("codes"))
-    return runs(coded, "key").select("key.id", "key.frame", "position", "value", "multiplicity")
-
-
-def image_rows(images: DataFrame) -> DataFrame:
-    """(id, row, position, value, multiplicity): runs of pixels, a row at a time."""
-    rows = images.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.slice("pixels", (y * F.col("width") + 1).cast("int"), F.col("width")))).alias("row", "part"))
-    return runs(rows.select(F.struct("id", "row").alias("key"), F.col("part").alias("codes")), "key").select("key.id", "key.row", "position", "value", "multiplicity")
-
-
 def sparse_cells(vectors: DataFrame, threshold: float = 1e-6) -> DataFrame:
     """(id, position, value): the components of at least the threshold, at their own places."""
     cells = vectors.select("id", F.posexplode("vector").alias("position", "value"))
@@ -136,10 +115,29 @@ def percentile_value(values: DataFrame, percent: float) -> DataFrame:
 
     Only counts by value are ordered: partial sums run over distinct values per range."""
     counts = values.groupBy("value").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("all"))
-    parts = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
-    sums = parts.groupBy("part").agg(F.sum("n").alias("s"))
-    before = sums.alias("a").join(sums.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.s"), F.lit(0)).alias("before"))
+    parts = settled(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()))  # once: ranges must not change
+    sums = parts.groupBy("part").agg(F.sum("n").alias("s"))  # a row a range
+    before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy()).alias("all"))
     run = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
     placed = parts.withColumn("upto", run).join(F.broadcast(before), "part").withColumn("upto", F.col("upto") + F.col("before"))
-    return placed.join(F.broadcast(total)).where(F.col("upto") > F.least(F.floor(F.col("all") * percent / 100), F.col("all") - 1)).agg(F.min("value").alias("value"))
+    return placed.where(F.col("upto") > F.least(F.floor(F.col("all") * percent / 100), F.col("all") - 1)).agg(F.min("value").alias("value"))
+
+
+def above_percentile(vectors: DataFrame, percent: float) -> DataFrame:
+    """(id, position, value): the components whose size is at least that at ``percent`` of all."""
+    sizes = vectors.select(F.explode("vector").alias("v")).select(F.abs(F.col("v").cast("double")).alias("value"))
+    threshold = percentile_value(sizes, percent).select(F.col("value").alias("threshold"))  # one row
+    cells = vectors.select("id", F.posexplode("vector").alias("position", "value"))
+    return cells.join(F.broadcast(threshold)).where(F.abs(F.col("value").cast("double")) >= F.col("threshold")).select("id", "position", "value")
+
+
+def sparse_hash(cells: DataFrame) -> DataFrame:
+    """(id, hash) of (id, position, value): places count, so equal values elsewhere are another tensor."""
+    parts = cells.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("parts"))
+    return parts.select("id", F.sha2(F.array_join(F.transform("parts", lambda p: F.concat_ws(":", p["position"].cast("string"), p["value"].cast("string"))), "|"), 256).alias("hash"))
+
+
+def vocabulary_parts(tokens: DataFrame) -> DataFrame:
+    """(token, position, code): the characters of each longer piece, in order and without runs."""
+    pieces = vocabulary(tokens).where("kind = 'piece'").select("token", F.posexplode(code_points(F.col("token"))).alias("position", "code"))
+    return pieces.select("token", "position", F.col("code").cast("long").alias("code"))

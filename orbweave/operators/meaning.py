@@ -10,8 +10,11 @@ from orbweave.operators.search import checked
 
 
 def _of(id_: int, points: DataFrame, prefix: str) -> DataFrame:
-    """One stored point under other names: at most one row."""
-    return points.where(F.col("id") == id_).select(*[F.col(c).alias(prefix + c) for c in AXES]).limit(1)
+    """One stored point under other names; an unknown id is an error."""
+    found = points.where(F.col("id") == id_).select(*[F.col(c).alias(prefix + c) for c in AXES]).limit(1)
+    if found.isEmpty():
+        raise KeyError(id_)
+    return found
 
 
 def _cols(prefix: str = "") -> list[Column]:
@@ -44,6 +47,73 @@ def related(points: DataFrame, id_: int, radius: float = 0.1, limit: int = 20) -
     return rows.where(F.col("distance") <= radius).orderBy("distance", "id").limit(limit).select("id", "distance", closeness(F.col("distance")).alias("confidence"))
 
 
+def related_typed(points: DataFrame, id_: int, radius: float = 0.1, limit: int = 20) -> DataFrame:
+    """(id, type_id, distance, confidence): the same of compositions, with their types."""
+    checked(limit, 1000)
+    rows = points.where(F.col("id") != id_).join(F.broadcast(_of(id_, points, "q"))).withColumn("distance", planar_distance(_cols(), _cols("q")))
+    return rows.where(F.col("distance") <= radius).orderBy("distance", "id").limit(limit).select("id", "type_id", "distance", closeness(F.col("distance")).alias("confidence"))
+
+
+#: What a constant or composition can be given as.
+TARGETS = ("embedding", "text", "hilbert", "coordinates")
+
+
+def constant_as(constants: DataFrame, target: str) -> DataFrame:
+    """(id, said) of constants (id, kind, value, x, y, z, m): its four ordinates, its character
+    (of code points alone), its place on the curve, or its ordinates by name."""
+    from orbweave.functions.curve import curve_key
+    from orbweave.functions.text import character
+
+    if target == "embedding":
+        return constants.select("id", F.array(*_cols()).alias("said"))
+    if target == "text":
+        return constants.select("id", F.when(F.col("kind") == 0, character(F.col("value"))).alias("said"))
+    if target == "hilbert":
+        return constants.select("id", curve_key(*_cols()).alias("said"))
+    if target == "coordinates":
+        return constants.select("id", F.struct(*AXES).alias("said"))
+    raise ValueError(f"{target} is none of {', '.join(TARGETS)}")
+
+
+def composition_embeddings(relations: DataFrame, points: DataFrame) -> DataFrame:
+    """(composition_id, embedding): x of each child in order, repeats kept."""
+    from orbweave.operators.graph import child_paths
+
+    return child_paths(relations, points).select("composition_id", F.transform("path", lambda p: p["x"]).alias("embedding"))
+
+
+def mapped_paths(paths: DataFrame, body, kind: str) -> DataFrame:
+    """(composition_id, path, hash, kind, source) of (composition_id, path): ``body`` of every point.
+
+    ``body`` takes and gives a struct(x, y, z, m).  The new composition is addressed by its
+    kind, its points and the one that it came from."""
+    new = F.transform("path", body)
+    said = F.array_join(F.transform(new, lambda p: F.concat_ws(",", *[p[c].cast("string") for c in AXES])), ";")
+    return paths.select("composition_id", new.alias("path"), F.sha2(F.concat_ws("|", F.lit(kind), F.col("composition_id").cast("string"), said), 256).alias("hash"), F.lit(kind).alias("kind"), F.col("composition_id").alias("source"))
+
+
+def generated_composition(constants: DataFrame, ids: list[int], kind: str = "generated") -> tuple[DataFrame, DataFrame]:
+    """``(composition, relations)`` of constants in the order of ``ids``, each once.
+
+    The composition is (hash, kind, children, shape, x, y, z, m) with the mean of its points.
+    An id that is given twice or not known is an error."""
+    from orbweave.functions.geometry import centroid, path_kind
+    from orbweave.functions.text import composition_hash, seed_hash
+
+    if not ids or len(set(ids)) != len(ids):
+        raise ValueError("ids must be given, each once")
+    place = F.create_map(*[F.lit(v) for k, i in enumerate(ids) for v in (i, k)])
+    rows = constants.where(F.col("id").isin(*ids)).select(place[F.col("id")].alias("position"), seed_hash(F.col("kind"), F.col("value")).alias("child"), F.struct(*AXES).alias("point"))
+    parts = rows.agg(F.array_sort(F.collect_list(F.struct("position", "child", "point"))).alias("parts"))  # as many as ids
+    if (found := parts.select(F.size("parts")).first()[0]) != len(ids):
+        raise KeyError(f"{len(ids) - found} of the ids are not known")
+    kids = F.transform("parts", lambda p: F.named_struct(F.lit("hash"), p["child"], F.lit("multiplicity"), F.lit(1)))
+    path = F.transform("parts", lambda p: p["point"])
+    one = parts.select(composition_hash(kids).alias("hash"), F.lit(kind).alias("kind"), F.size("parts").alias("children"), path_kind(path).alias("shape"), centroid(path).alias("c"))
+    relations = parts.select(composition_hash(kids).alias("parent"), F.explode("parts").alias("p")).select("parent", "p.position", "p.child", F.lit(True).alias("is_constant"), F.lit(1).cast("long").alias("multiplicity"))
+    return one.select("hash", "kind", "children", "shape", "c.*"), relations
+
+
 def gaps(rows: DataFrame, high: int, *, span: int = 1000, most: int = 100) -> DataFrame:
     """Midpoints of neighbours on the curve that lie more than ``span`` apart.
 

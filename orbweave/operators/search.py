@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.functions.geometry import AXES, closeness, distance, planar_distance
+from orbweave.functions.curve import curve_key, unsigned
+from orbweave.functions.geometry import AXES, closeness, distance, planar_distance, project_code
+from orbweave.functions.store import settled
 
 
 def checked(n: int, most: int) -> int:
@@ -26,6 +30,14 @@ def nearest_planar(points: DataFrame, at, k: int = 10) -> DataFrame:
     return points.withColumn("distance", planar_distance(_xyzm(), at)).orderBy("distance", "id").limit(k)
 
 
+def nearest_seed(points: DataFrame, code: int, k: int = 10) -> DataFrame:
+    """The k planar neighbours of where a code point is projected, itself among them if it is stored."""
+    checked(k, 1000)
+    if not 0 <= code <= 0x10FFFF:
+        raise ValueError(f"{code} is no code point")
+    return nearest_planar(points, project_code(F.lit(code).cast("long")), k)
+
+
 def nearest(points: DataFrame, at, k: int = 10, *, type_id=None) -> DataFrame:
     """2k candidates by planar distance, of which the k nearest in all four ordinates."""
     checked(k, 10_000)
@@ -40,7 +52,7 @@ def within(points: DataFrame, at, radius: float, *, limit: int = 1000, type_id=N
     if radius <= 0:
         raise ValueError("a radius must be positive")
     found = points if type_id is None else points.where(F.col("type_id") == type_id)
-    # The planar bound is a plain comparison of columns and reaches the scan.
+    # The planar bound is a plain comparison: where x and y are columns of a file it reaches the scan.
     box = (F.col("x").between(at[0] - radius, at[0] + radius)) & (F.col("y").between(at[1] - radius, at[1] + radius))
     return found.where(box).withColumn("distance", distance(_xyzm(), at)).where(F.col("distance") <= radius).orderBy("distance", "id").limit(limit)
 
@@ -69,15 +81,81 @@ def in_curve_range(rows: DataFrame, start: tuple[int, int], end: tuple[int, int]
     """Rows whose 128-bit key (hk, lk: unsigned order keys) lies in [start, end], in order."""
     key = F.struct("hk", "lk")
     bound = lambda p: F.struct(F.lit(p[0]).cast("long").alias("hk"), F.lit(p[1]).cast("long").alias("lk"))
-    # The first word alone prunes files; the pair decides.
+    # The first word alone prunes files of a table written by save_keyed; the pair decides.
     found = rows.where(F.col("hk").between(start[0], end[0])).where((key >= bound(start)) & (key <= bound(end)))
     return found if limit is None else found.orderBy("hk", "lk", "id").limit(checked(limit, 10_000))
 
 
+def after(rows: DataFrame, cursor: tuple[int, int, int] | None, end: tuple[int, int], size: int = 1000) -> DataFrame:
+    """The next ``size`` rows (id, hk, lk) on the curve strictly after ``cursor`` (hk, lk, id), up to ``end``.
+
+    The id is part of the cursor, so rows of equal keys are not lost between pages."""
+    key = F.struct("hk", "lk", "id")
+    found = rows.where(F.col("hk") <= end[0]).where(F.struct("hk", "lk") <= F.struct(F.lit(end[0]).cast("long").alias("hk"), F.lit(end[1]).cast("long").alias("lk")))
+    if cursor is not None:
+        found = found.where(F.col("hk") >= cursor[0]).where(key > F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for v, c in zip(cursor, ("hk", "lk", "id"))]))
+    return found.orderBy("hk", "lk", "id").limit(checked(size, 10_000))
+
+
+def pages(rows: DataFrame, start: tuple[int, int], end: tuple[int, int], size: int = 1000) -> Iterator[list]:
+    """All rows between two places of the curve, both included, a page at a time."""
+    key = F.struct("hk", "lk")
+    held = rows.where(key >= F.struct(F.lit(start[0]).cast("long").alias("hk"), F.lit(start[1]).cast("long").alias("lk")))
+    cursor = None
+    while page := after(held, cursor, end, size).collect():
+        yield page
+        last = page[-1]
+        cursor = (last["hk"], last["lk"], last["id"])
+
+
+def adjacent(keyed: DataFrame) -> DataFrame:
+    """(id, next_id, distance): each point and the one after it on the curve, in all four ordinates.
+
+    Points are ranged over tasks by their key; the first of each range follows the last of the
+    one before, so no task sees more than its range and one row a range."""
+    ranged = settled(keyed.select("id", "hk", "lk", *AXES).repartitionByRange("hk", "lk", "id").withColumn("part", F.spark_partition_id()))
+    order = Window.partitionBy("part").orderBy("hk", "lk", "id")
+    point = F.struct("id", *AXES)
+    inner = ranged.withColumn("n", F.lead(point).over(order))
+    whole = F.struct("hk", "lk", "id", *AXES)
+    ends = ranged.groupBy("part").agg(F.min(whole).alias("first"), F.max(whole).alias("last"))
+    seams = ends.select("last", F.lead("first").over(Window.orderBy("part")).alias("n")).where("n is not null")  # a row a range
+    cols = lambda p: [F.col(f"{p}.{c}") for c in AXES]
+    within_ranges = inner.where("n is not null").select("id", F.col("n.id").alias("next_id"), distance([F.col(c) for c in AXES], cols("n")).alias("distance"))
+    return within_ranges.unionByName(seams.select(F.col("last.id").alias("id"), F.col("n.id").alias("next_id"), distance(cols("last"), cols("n")).alias("distance")))
+
+
+def near_on_curve(keyed: DataFrame, at, span: int, k: int = 10) -> DataFrame:
+    """The k nearest in all four ordinates among points whose first word lies within ``span`` of the target's.
+
+    The curve keeps places together but not always: a heuristic that reads little, no exact search."""
+    target = keyed.sparkSession.range(1).select(unsigned(curve_key(*[F.lit(float(v)) for v in at])["high"]).alias("hk")).first()["hk"]
+    low, high = max(target - span, -(1 << 63)), min(target + span, (1 << 63) - 1)
+    return keyed.where(F.col("hk").between(low, high)).withColumn("distance", distance(_xyzm(), at)).orderBy("distance", "id").limit(checked(k, 10_000))
+
+
+def regions(keyed: DataFrame, bits: int = 16) -> DataFrame:
+    """(region, n, min_x, min_y, max_x, max_y): points by the first ``bits`` bits of their key, with their box."""
+    region = F.shiftright("hk", 64 - bits)
+    return keyed.groupBy(region.alias("region")).agg(F.count("*").alias("n"), F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
+
+
+def density(points: DataFrame, cell: float) -> DataFrame:
+    """(cell_x, cell_y, n): points a square cell."""
+    return points.groupBy(F.floor(F.col("x") / cell).alias("cell_x"), F.floor(F.col("y") / cell).alias("cell_y")).agg(F.count("*").alias("n"))
+
+
+def in_both_boxes(points: DataFrame, a, b) -> DataFrame:
+    """Points in two boxes, each (low, high), at once."""
+    return in_box(in_box(points, *a), *b)
+
+
 def similar_to(points: DataFrame, id_: int, k: int = 10) -> DataFrame:
-    """The planar neighbours of a stored point, without itself."""
+    """The planar neighbours of a stored point, without itself; an unknown id is an error."""
     checked(k, 1000)
     target = points.where(F.col("id") == id_).select(*[F.col(c).alias(f"t{c}") for c in AXES]).limit(1)
+    if target.isEmpty():
+        raise KeyError(id_)
     # One row by its key: the broadcast is bounded.
     found = points.where(F.col("id") != id_).join(F.broadcast(target))
     return found.withColumn("distance", planar_distance(_xyzm(), [F.col(f"t{c}") for c in AXES])).orderBy("distance", "id").limit(k).drop(*[f"t{c}" for c in AXES])

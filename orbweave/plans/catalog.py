@@ -7,15 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.functions import curve, geometry
+from orbweave.functions import geometry
 from orbweave.functions.geometry import BANDS, HIGH_BAND, HIGH_FROM, OTHER_BAND
 from orbweave.operators import graph, ingest, meaning, search
+from orbweave.plans import content, space  # noqa: F401  they register their queries
+from orbweave.plans.registry import QUERIES, SQL, registered, rounded
 from orbweave.sources.tables import compositions, points, relations, table
 from orbweave.streaming import events as streams
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
 _POINTS = "points AS (SELECT vec_id AS id, label::BIGINT AS type_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS m FROM embeddings)"
 _AT = (0.5, 0.5, 0.5, 0.5)
 _D2 = "sqrt((x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5))"
@@ -25,20 +24,6 @@ _Q4 = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z)
 _KEYS = [2, 3, 5, 8, 13, 21, 34]
 
 
-def registered(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in cols})
-
-
 @registered(f"WITH {_POINTS}, near AS (SELECT *, {_D2} AS d2 FROM points ORDER BY d2, id LIMIT 20) SELECT id, type_id, round({_D4}, 9) AS distance FROM near ORDER BY {_D4}, id LIMIT 10")
 def knn_planar_4d_rerank(spark, d):
     return rounded(search.nearest(points(spark, d), _AT, 10).select("id", "type_id", "distance"), "distance")
@@ -116,19 +101,6 @@ def project_codepoints(spark, d):
     return rounded(_codes(spark, d).select("c", *[p.alias(n) for p, n in zip(geometry.project_code(F.col("c")), "xyzm", strict=True)]), *"xyzm")
 
 
-@registered()
-def curve_codepoints(spark, d):
-    p = _codes(spark, d).select("c", *[x.alias(n) for x, n in zip(geometry.project_code(F.col("c")), "xyzm", strict=True)])
-    return p.select("c", curve.curve_of(*[F.col(n) for n in "xyzm"]).alias("k")).select("c", "k.high", "k.low")
-
-
-@registered()
-def hilbert_range(spark, d):
-    p = points(spark, d).select("id", curve.curve_of(*[F.col(n) for n in "xyzm"]).alias("k"))
-    keyed = p.select("id", curve.unsigned(F.col("k.high")).alias("hk"), curve.unsigned(F.col("k.low")).alias("lk"))
-    return search.in_curve_range(keyed, (-(1 << 62), 0), (1 << 62, 0), limit=1000)
-
-
 _R = "relations AS (SELECT l_orderkey AS composition_id, l_linenumber AS position, l_quantity::BIGINT AS multiplicity, l_partkey AS child_id FROM lineitem)"
 _C = "compositions AS (SELECT o_orderkey AS id, o_orderstatus AS type_id FROM orders)"
 
@@ -351,7 +323,7 @@ def unicode_seed(spark, d):
 def stream_dedup(spark, d):
     schema = table(spark, d, "events").schema
     stream = streams.event_stream(spark, f"{d}/events*.parquet", schema)
-    once = streams.drained(streams.once_each(stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"), "event_id", late="3650 days"), "dedup")
+    once = streams.drained(streams.once_each(stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"), "event_id", late="7 days"), "dedup")
     return once.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -361,8 +333,8 @@ def events_tumbling(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

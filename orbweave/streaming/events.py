@@ -36,12 +36,18 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def merge_new(batch: DataFrame, path: str, key: str) -> None:
-    """For foreachBatch: append the rows whose key is not stored yet; a repeated batch adds nothing."""
+    """For foreachBatch: append the rows whose key is not stored yet; a repeated batch adds nothing.
+
+    A batch that was cut short left no committed files, so that it is whole when it comes again."""
     spark = batch.sparkSession
-    new = batch.dropDuplicates([key])
-    try:
-        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    new.write.mode("append").parquet(path)
+    spark.createDataFrame([], batch.schema).write.mode("ignore").parquet(path)
+    stored = spark.read.schema(batch.schema).parquet(path).select(key)
+    batch.dropDuplicates([key]).join(stored, key, "left_anti").write.mode("append").parquet(path)
+
+
+def micro_batches(stream: DataFrame, sink, folder: str, *, every: str | None = None):
+    """A running query that hands each micro-batch to ``sink(batch, number)``; without ``every`` it ends with what is there.
+
+    How much a batch holds is the source's ``maxFilesPerTrigger``."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", folder).trigger(**trigger).start()
