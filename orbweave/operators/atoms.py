@@ -142,36 +142,41 @@ class Store:
             raise KeyError(parent)
         return found
 
-    def texts(self, roots: DataFrame, *, max_rounds: int = 64) -> DataFrame:
+    def _below(self, roots: DataFrame, max_rounds: int) -> DataFrame:
+        """The relations of everything that ``roots`` (hash) are made of."""
+        level, found = settled(roots.select(F.col("hash").alias("parent")).distinct().join(self.table("relations"), "parent")), []
+        for _ in range(max_rounds):
+            found.append(level)
+            down = level.where("not is_constant").select(F.col("child").alias("parent")).distinct()
+            level = settled(down.join(self.table("relations"), "parent"))
+            if level.isEmpty():
+                break
+        whole = found[0]
+        for part in found[1:]:
+            whole = whole.unionByName(part)
+        return settled(whole.dropDuplicates(["parent", "position"]))
+
+    def texts(self, roots: DataFrame, *, whole: bool = False, max_rounds: int = 64) -> DataFrame:
         """(doc_id, text) of ``roots`` (doc_id, hash).
 
         Compositions are spelt once all their children are, round by round; what documents
-        share is spelt once."""
+        share is spelt once.  With ``whole`` the store is not searched for what lies below the
+        roots first, which pays where they are most of it."""
+        relations = settled(self.table("relations")) if whole else self._below(roots, max_rounds)
         spelt = settled(self.table("constants").where(F.col("kind") == UNICODE).select(F.col("hash").alias("child"), character(F.col("value")).alias("said")))
-        needed = roots.select(F.col("hash").alias("parent")).distinct()
-        level, wanted = settled(needed.join(self.table("relations"), "parent")), []
-        for _ in range(max_rounds):
-            wanted.append(level)
-            down = level.where("not is_constant").select(F.col("child").alias("parent")).distinct()
-            if down.isEmpty():
-                break
-            level = settled(down.join(self.table("relations"), "parent"))
-        waiting = wanted[0]
-        for part in wanted[1:]:
-            waiting = waiting.unionByName(part)
-        waiting = settled(waiting.dropDuplicates(["parent", "position"]))
+        waiting, last = relations, None
         for _ in range(max_rounds):
-            if waiting.isEmpty():
+            said = F.expr("repeat(said, int(multiplicity))")
+            parts = waiting.join(spelt, "child", "left").groupBy("parent").agg(F.count("*").alias("n"), F.count("said").alias("known"), F.array_sort(F.collect_list(F.struct("position", said.alias("said")))).alias("parts"))
+            whole_text = F.when(F.col("n") == F.col("known"), F.array_join(F.transform("parts", lambda p: p["said"]), ""))
+            round_ = settled(parts.select("parent", whole_text.alias("said")))
+            spelt = spelt.unionByName(round_.where("said is not null").withColumnRenamed("parent", "child"))
+            open_ = round_.where("said is null").select("parent")
+            if (left := open_.count()) == 0:
                 break
-            joined = settled(waiting.join(spelt, "child", "left"))
-            parts = joined.groupBy("parent").agg(
-                F.count("*").alias("n"), F.count("said").alias("known"), F.array_sort(F.collect_list(F.struct("position", F.expr("repeat(said, int(multiplicity))").alias("said")))).alias("parts")
-            )
-            new = settled(parts.where("n = known").select(F.col("parent").alias("child"), F.array_join(F.transform("parts", lambda p: p["said"]), "").alias("said")))
-            if new.isEmpty():
+            if left == last:
                 raise ValueError("relations form a cycle or lack constants")
-            waiting = settled(waiting.join(new.select(F.col("child").alias("parent")), "parent", "left_anti"))
-            spelt = spelt.unionByName(new)
+            waiting, last = relations.join(open_, "parent", "left_semi"), left
         return roots.join(spelt.withColumnRenamed("child", "hash"), "hash").select("doc_id", F.col("said").alias("text"))
 
     def parents_of_text(self, text: str) -> DataFrame:

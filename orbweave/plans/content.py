@@ -57,7 +57,7 @@ def hierarchy_roundtrip(spark, d):
     """Texts by their grammars, stored, and spelt from the store again."""
     store, content = _store(spark), atoms.hierarchical_content(_texts(spark, d))
     store.add(content)
-    return store.texts(content.roots)
+    return store.texts(content.roots, whole=True)
 
 
 @registered("SELECT doc_id, true AS equal, length(text)::BIGINT AS length, length(text)::BIGINT AS exported_length, NULL::INT AS first_difference FROM documents WHERE text <> ''")

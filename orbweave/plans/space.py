@@ -280,7 +280,7 @@ def chain_edges(spark, d):
     return graph.chain(_tree(spark, d), "n3", 3)[1]
 
 
-@registered(f"{_WALK}, target AS (SELECT min(path) AS whole FROM walk WHERE node = 'p7' AND depth = (SELECT min(depth) FROM walk WHERE node = 'p7')) firsts AS (SELECT node, depth, min(path) AS path FROM walk JOIN met USING (node, depth) GROUP BY 1, 2) SELECT node, depth::INT AS depth FROM firsts, target WHERE whole IS NOT NULL AND path = whole[1:depth]")
+@registered(f"{_WALK}, target AS (SELECT min(path) AS whole FROM walk WHERE node = 'p7' AND depth = (SELECT min(depth) FROM walk WHERE node = 'p7')), firsts AS (SELECT node, depth, min(path) AS path FROM walk JOIN met USING (node, depth) GROUP BY 1, 2) SELECT node, depth::INT AS depth FROM firsts, target WHERE whole IS NOT NULL AND path = whole[1:depth]")
 def path_between(spark, d):
     return graph.shortest_ways(_tree(spark, d), "n3", "p7", 3)
 
