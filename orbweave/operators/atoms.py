@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions.store import settled
-from orbweave.functions.text import character, code_points, composition_hash, runs, seed_hash
+from orbweave.functions.text import character, code_points, composition_hash, run_array, seed_hash
 from orbweave.operators.ingest import UNICODE, grammar, new_only
 
 SCHEMAS = {
@@ -53,10 +53,10 @@ def _constants(docs: DataFrame, kind: int = UNICODE) -> DataFrame:
 def flat_content(docs: DataFrame) -> Content:
     """Texts as runs of code points; null and empty texts have no content and no root."""
     docs = docs.where("text <> ''").select("doc_id", "text")
-    parts = runs(docs.select("doc_id", code_points(F.col("text")).alias("codes"))).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "value", "multiplicity"))).alias("parts"))
+    parts = docs.select("doc_id", code_points(F.col("text")).alias("codes")).select("doc_id", run_array(F.col("codes")).alias("parts"))
     kids = F.transform("parts", lambda p: F.struct(seed_hash(F.lit(UNICODE), p["value"]).alias("hash"), p["multiplicity"].alias("multiplicity")))
     hashed = settled(parts.select("doc_id", kids.alias("kids")).withColumn("hash", composition_hash(F.col("kids"))))
-    once = hashed.groupBy("hash").agg(F.min_by("kids", "doc_id").alias("kids"))
+    once = settled(hashed.dropDuplicates(["hash"]).select("hash", "kids"))
     relations = once.select(F.col("hash").alias("parent"), F.posexplode("kids").alias("position", "k")).select("parent", "position", F.col("k.hash").alias("child"), F.lit(True).alias("is_constant"), "k.multiplicity")
     compositions = once.select("hash", F.lit("text").alias("kind"), F.size("kids").alias("children"))
     return Content(_constants(docs), compositions, relations, hashed.select("doc_id", "hash"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions.geometry import project_code
 from orbweave.functions.store import settled
-from orbweave.functions.text import character, code_points, composition_hash, runs, seed_hash
+from orbweave.functions.text import character, code_points, composition_hash, run_array, runs, seed_hash
 
 #: The kinds of constants.
 UNICODE, INTEGER, FLOAT, BYTE, BOOLEAN, NULL = range(6)
@@ -29,8 +29,7 @@ def text_of(relations: DataFrame) -> DataFrame:
 
 def text_compositions(docs: DataFrame) -> DataFrame:
     """(hash, doc_id): one composition for equal texts, under its least document."""
-    a = docs.select("doc_id", code_points(F.col("text")).alias("codes"))
-    parts = runs(a).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "value", "multiplicity"))).alias("parts"))
+    parts = docs.select("doc_id", code_points(F.col("text")).alias("codes")).select("doc_id", run_array(F.col("codes")).alias("parts"))
     kids = F.transform("parts", lambda p: F.struct(seed_hash(F.lit(UNICODE), p["value"]).alias("hash"), p["multiplicity"].alias("multiplicity")))
     return parts.select("doc_id", composition_hash(kids).alias("hash")).groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
 

@@ -10,13 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.functions.bits import fixed_rate, sample_code, sample_of
-
-
-def _runs_of(codes: Column) -> Column:
-    """array<struct<value, multiplicity>> of an array."""
-    at = F.filter(F.sequence(F.lit(0), F.size(codes) - 1), lambda i: (i == 0) | (F.get(codes, i) != F.get(codes, i - 1)))
-    told = lambda starts: F.transform(starts, lambda s, k: F.struct(F.get(codes, s).cast("long").alias("value"), (F.coalesce(F.get(starts, k + 1), F.size(codes)) - s).cast("long").alias("multiplicity")))
-    return F.when(F.size(codes) > 0, F.element_at(F.transform(F.array(at), told), 1)).otherwise(F.array().cast("array<struct<value:bigint,multiplicity:bigint>>"))
+from orbweave.functions.text import run_array
 
 
 def _unrolled(runs: Column) -> Column:
@@ -42,19 +36,19 @@ def binary_parts(files: DataFrame, size: int = 4096) -> DataFrame:
     n = F.greatest(F.ceil(F.length("content") / size).cast("int"), F.lit(1))
     pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(F.col("content"), k * size + 1, F.lit(size)))
     cut = files.where("content is not null").select("id", F.array(F.length("content").cast("long")).alias("meta"), F.posexplode(pieces).alias("part", "piece"))
-    return cut.select("id", "part", _runs_of(byte_values(F.col("piece"))).alias("runs"), "meta")
+    return cut.select("id", "part", run_array(byte_values(F.col("piece"))).alias("runs"), "meta")
 
 
 def audio_parts(tracks: DataFrame, size: int = 1024) -> DataFrame:
     """(id, part, runs, meta) of (id, samples, rate, channels, bits): frames of ``size`` samples + 32768."""
     coded = F.transform("samples", sample_code)
-    return tracks.select("id", F.array(*[F.col(c).cast("long") for c in ("rate", "channels", "bits")]).alias("meta"), F.posexplode(_cut(coded, size)).alias("part", "codes")).select("id", "part", _runs_of(F.col("codes")).alias("runs"), "meta")
+    return tracks.select("id", F.array(*[F.col(c).cast("long") for c in ("rate", "channels", "bits")]).alias("meta"), F.posexplode(_cut(coded, size)).alias("part", "codes")).select("id", "part", run_array(F.col("codes")).alias("runs"), "meta")
 
 
 def image_parts(images: DataFrame) -> DataFrame:
     """(id, part, runs, meta) of (id, width, height, pixels): rows of pixels; meta is [width, height]."""
     rows = _cut(F.col("pixels"), F.col("width").cast("int"))
-    return images.select("id", F.array(F.col("width").cast("long"), F.col("height").cast("long")).alias("meta"), F.posexplode(rows).alias("part", "codes")).select("id", "part", _runs_of(F.col("codes")).alias("runs"), "meta")
+    return images.select("id", F.array(F.col("width").cast("long"), F.col("height").cast("long")).alias("meta"), F.posexplode(rows).alias("part", "codes")).select("id", "part", run_array(F.col("codes")).alias("runs"), "meta")
 
 
 def video_parts(films: DataFrame) -> DataFrame:
@@ -63,7 +57,7 @@ def video_parts(films: DataFrame) -> DataFrame:
     ``part`` counts rows over all frames; meta is [width, height, fps in thousandths]."""
     rows = _cut(F.col("pixels"), F.col("width").cast("int"))
     cut = films.select("id", "frame", "height", F.array(F.col("width").cast("long"), F.col("height").cast("long"), fixed_rate(F.col("fps"))).alias("meta"), F.posexplode(rows).alias("row", "codes"))
-    return cut.select("id", (F.col("frame") * F.col("height") + F.col("row")).cast("int").alias("part"), _runs_of(F.col("codes")).alias("runs"), "meta")
+    return cut.select("id", (F.col("frame") * F.col("height") + F.col("row")).cast("int").alias("part"), run_array(F.col("codes")).alias("runs"), "meta")
 
 
 def _whole(parts: DataFrame) -> DataFrame:
