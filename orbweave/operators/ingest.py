@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,25 +75,27 @@ def grammar(symbols: list, max_rules: int = 30) -> tuple[list[tuple], list]:
 
     Each round replaces the pair that is counted most (the first met of equals, at least
     twice, overlaps counted), left to right."""
-    seq, rules = list(symbols), []
+    number: dict = {}
+    seq, rules = np.fromiter((number.setdefault(s, len(number)) for s in symbols), np.int64, len(symbols)), []
+    names = list(number)
     for k in range(1, max_rules + 1):
-        counts: dict = {}
-        for pair in zip(seq, seq[1:]):
-            counts[pair] = counts.get(pair, 0) + 1
-        pair = max(counts, key=counts.get, default=None)
-        if pair is None or counts[pair] < 2:
+        pairs = seq[:-1] << 32 | seq[1:]
+        _, first, counts = np.unique(pairs, return_index=True, return_counts=True)
+        if not counts.size or (most := counts.max()) < 2:
             break
-        name, out, i = f"R{k}", [], 0
-        while i < len(seq):
-            if i + 1 < len(seq) and (seq[i], seq[i + 1]) == pair:
-                out.append(name)
-                i += 2
-            else:
-                out.append(seq[i])
-                i += 1
-        rules.append((name, *pair, counts[pair]))
-        seq = out
-    return rules, seq
+        at = first[counts == most].min()
+        left, right = seq[at], seq[at + 1]
+        hits = np.flatnonzero(pairs == pairs[at])
+        if left == right:  # of a run of the same symbol every second pair
+            opens = np.flatnonzero(np.diff(hits, prepend=-2) > 1)
+            hits = hits[(hits - np.repeat(hits[opens], np.diff(opens, append=len(hits)))) % 2 == 0]
+        kept = np.ones(len(seq), bool)
+        kept[hits + 1] = False
+        seq[hits] = len(names)
+        seq = seq[kept]
+        rules.append((f"R{k}", names[left], names[right], int(most)))
+        names.append(f"R{k}")
+    return rules, [names[i] for i in seq]
 
 
 def grammar_rules(docs: DataFrame) -> DataFrame:
