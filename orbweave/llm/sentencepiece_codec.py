@@ -84,13 +84,15 @@ class PieceModel:
         for piece in self.ids:
             self.longest[piece[-1]] = max(len(piece), self.longest.get(piece[-1], 1))
         self._stable: dict[tuple[str, str], bool] = {}
+        self._halves: dict[str, tuple[str, str] | tuple[()] | None] = {}
         self.unknown = p.unk_id()
         self.unknown_score = np.float32(np.float32(min(self.scores.values(), default=0.0)) - np.float32(UNKNOWN_COST))
 
-    def merged(self, word: str) -> list[str]:
-        """The segmentation by merges: the best-scoring pair of neighbours, the left one of equals, again and again."""
+    def merged(self, word: str, until: int = 1) -> list[str]:
+        """The segmentation by merges: the best-scoring pair of neighbours, the left one of equals,
+        again and again while there are more than ``until`` parts."""
         parts = list(word)
-        while len(parts) > 1:
+        while len(parts) > until:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 score = self.scores.get(parts[i] + parts[i + 1])
@@ -107,9 +109,42 @@ class PieceModel:
         if (known := self._stable.get(key)) is None:
             if len(self._stable) > 300_000:
                 self._stable.clear()
-            known = self._stable[key] = self.merged(left + right) == [left, right]
+            known = self._stable[key] = self._apart(left, right)
         return known
 
+    def _made_of(self, piece: str) -> tuple[str, str] | tuple[()] | None:
+        """The halves that merging joins last into a piece, each made before it; none of a single
+        character; None where merging does not give the piece, or joins it out of order."""
+        if piece not in self._halves:
+            halves = tuple(self.merged(piece, 2)) if len(piece) > 1 else ()
+            if halves:
+                whole = self.scores.get(piece)
+                before = lambda h: len(h) == 1 or (self.scores[h] > whole and self._made_of(h) is not None)
+                if whole is None or len(halves) != 2 or not all(map(before, halves)):
+                    halves = None
+            self._halves[piece] = halves
+        return self._halves[piece]
+
+    def _apart(self, left: str, right: str) -> bool:
+        """``merged(left + right) == [left, right]``, from the order in which either was made.
+
+        Back in time, the later made of the two pieces beside the boundary is taken apart: they merge
+        if what they spell scores better than what took their place (equals: the left one)."""
+        if self._made_of(left) is None or self._made_of(right) is None:
+            return self.merged(left + right) == [left, right]
+        limit, ties = -np.inf, False
+        while True:
+            joined = self.scores.get(left + right)
+            if joined is not None and (joined > limit or (ties and joined == limit)):
+                return False
+            a, b = self._made_of(left), self._made_of(right)
+            if not a and not b:
+                return True
+            if a and (not b or self.scores[left] < self.scores[right]):
+                limit, ties, left = self.scores[left], False, a[1]
+            else:
+                limit, ties, right = self.scores[right], True, b[0]
+
     def forward(self, words: list[str]) -> dict[str, list[str]]:
         """The segmentation of each word.  The words must be sorted."""
         return self._best(words) if self.kind == UNIGRAM else self._merges(words)
@@ -159,7 +194,7 @@ class PieceModel:
                     if size > 1 and piece not in self.scores:
                         continue
                     if size == end:
-                        if self.merged(piece) == [piece]:
+                        if self._made_of(piece) is not None or self.merged(piece) == [piece]:
                             found = piece
                             break
                     elif self._follows(states[end - size], piece):

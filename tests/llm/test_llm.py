@@ -334,6 +334,25 @@ def _message(*fields):
     return out
 
 
+def test_pieces_stay_apart_as_merges_say():
+    model = sentencepiece_codec.PieceModel(P.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(12)
+    pieces = sorted(model.ids)
+    chosen = rng.choice(len(pieces), (20_000, 2))
+    short = [p for p in pieces if len(p) < 4]
+    pairs = [(pieces[i], pieces[j]) for i, j in chosen] + [(short[i % len(short)], short[j % len(short)]) for i, j in chosen] + [("a" * i, "a" * j) for i in range(1, 6) for j in range(1, 6)]
+    assert all(model._apart(a, b) == (model.merged(a + b) == [a, b]) for a, b in pairs)
+    # Equal scores, and pieces that are better than what they are made of.
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        words = {"".join(rng.choice(list("ab"), n)) for n in rng.integers(2, 5, 12)}
+        model.scores = dict.fromkeys("ab", -50.0) | {w: float(-rng.integers(0, 6)) for w in words}
+        model._halves.clear()
+        for a in model.scores:
+            for b in model.scores:
+                assert model._apart(a, b) == (model.merged(a + b) == [a, b]), (seed, a, b)
+
+
 def test_sentencepiece_viterbi_is_enumeration(spark, tmp_path):
     """A small unigram vocabulary written by hand, against all segmentations and the library."""
     sentencepiece = pytest.importorskip("sentencepiece")
