@@ -16,6 +16,7 @@ the result equals the merges exactly.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,9 @@ TRAINER, NORMALIZER, MODEL_TYPE, CHARSMAP, REMOVE_SPACES = 2, 3, 3, 2, 4
 UNIGRAM, MERGES = 1, 2
 UNKNOWN_COST = 10.0
 
+#: Longer pieces are looked up by their last three characters; of any others only two lengths are left.
+TAIL, SHORT = 3, (2, 1)
+
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of a message's fields: integers, and the bytes of all others."""
@@ -80,9 +84,14 @@ class PieceModel:
         self.bytes = {int(self.pieces[i][3:-1], 16): i for i in range(n) if p.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.control = {i for i in range(n) if p.is_control(i) or p.is_unknown(i)}
-        self.longest: dict[str, int] = {}  # by last character
+        # What each id says alone; bytes beyond ASCII say something only together.
+        self.alone = ["" if i in self.control else chr(self.byte_of[i]) if i in self.byte_of else x for i, x in enumerate(self.pieces)]
+        self.partial = {i for i, b in self.byte_of.items() if b > 127}
+        ends: dict[str, set[int]] = {}
         for piece in self.ids:
-            self.longest[piece[-1]] = max(len(piece), self.longest.get(piece[-1], 1))
+            ends.setdefault(piece[-TAIL:], {1, 2}).add(len(piece))
+        # How long the pieces are that end with three characters, the longest first.
+        self.sizes = {tail: tuple(sorted(of, reverse=True)) for tail, of in ends.items() if len(tail) == TAIL}
         self._stable: dict[tuple[str, str], bool] = {}
         self._halves: dict[str, tuple[str, str] | tuple[()] | None] = {}
         self.unknown = p.unk_id()
@@ -162,7 +171,9 @@ class PieceModel:
             del best[k + 1 :], size_of[k + 1 :]
             for end in range(k + 1, len(word) + 1):
                 score, chosen = None, 1
-                for size in range(min(self.longest.get(word[end - 1], 1), end), 0, -1):
+                for size in self.sizes.get(word[max(end - TAIL, 0) : end], SHORT):
+                    if size > end:
+                        continue
                     own = self.scores.get(word[end - size : end])
                     if own is None:
                         if size > 1:
@@ -181,6 +192,7 @@ class PieceModel:
         return out
 
     def _merges(self, words: list[str]) -> dict[str, list[str]]:
+        scores, sizes, stable = self.scores, self.sizes, self._stable
         out, last, states = {}, "", [""]
         for word in words:
             k, most = 0, min(len(last), len(word))
@@ -188,19 +200,21 @@ class PieceModel:
                 k += 1
             del states[k + 1 :]
             for end in range(k + 1, len(word) + 1):
-                found = None
-                for size in range(min(self.longest.get(word[end - 1], 1), end), 0, -1):
+                found = word[end - 1]
+                for size in sizes.get(word[max(end - TAIL, 0) : end], SHORT):
+                    if size > end:
+                        continue
                     piece = word[end - size : end]
-                    if size > 1 and piece not in self.scores:
+                    if size > 1 and piece not in scores:
                         continue
                     if size == end:
-                        if self._made_of(piece) is not None or self.merged(piece) == [piece]:
-                            found = piece
-                            break
-                    elif self._follows(states[end - size], piece):
+                        fits = self._made_of(piece) is not None or self.merged(piece) == [piece]
+                    elif (fits := stable.get((states[end - size], piece))) is None:
+                        fits = self._follows(states[end - size], piece)
+                    if fits:
                         found = piece
                         break
-                states.append(found if found is not None else word[end - 1])
+                states.append(found)
             last, parts, end = word, [], len(word)
             while end:
                 parts.append(states[end])
@@ -221,7 +235,15 @@ class PieceModel:
                 out.append(self.unknown)
         return out
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: list[int]) -> str:
+        if self.partial.isdisjoint(ids):
+            said = "".join([self.alone[i] for i in ids])
+        else:
+            said = self._with_bytes(ids)
+        text = said.replace(MARK, " ")
+        return text[1:] if text.startswith(" ") else text
+
+    def _with_bytes(self, ids: list[int]) -> str:
         out, held = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -230,12 +252,8 @@ class PieceModel:
             if held:
                 out.append(held.decode(errors="replace"))
                 held.clear()
-            if i not in self.control:
-                out.append(self.pieces[i])
-        if held:
-            out.append(held.decode(errors="replace"))
-        text = "".join(out).replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+            out.append(self.alone[i])
+        return "".join(out) + held.decode(errors="replace")
 
 
 def marked_words(text: str) -> list[str]:
@@ -272,7 +290,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
                     kept.clear()
                     new = {w for ws in docs_words for w in ws}
                 for word, parts in model.forward(sorted(new)).items():
-                    kept[word] = np.array(model.ids_of(parts), np.int32).tobytes()
+                    kept[word] = array("i", model.ids_of(parts)).tobytes()
                 blobs = [b"".join(map(kept.__getitem__, ws)) for ws in docs_words]
                 offsets = np.zeros(len(texts) + 1, np.int32)
                 np.cumsum([len(b) // 4 for b in blobs], out=offsets[1:])
