@@ -116,7 +116,7 @@ class PieceModel:
         """Whether two pieces side by side stay as they are."""
         key = (left, right)
         if (known := self._stable.get(key)) is None:
-            if len(self._stable) > 300_000:
+            if len(self._stable) > 100_000:
                 self._stable.clear()
             known = self._stable[key] = self._apart(left, right)
         return known
@@ -263,7 +263,7 @@ def marked_words(text: str) -> list[str]:
 
 _models: dict[str, tuple[PieceModel, dict[str, bytes]]] = {}
 #: Words whose ids a worker keeps from batch to batch; beyond, it starts anew.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 500_000
 
 
 def _model(path: str) -> tuple[PieceModel, dict[str, bytes]]:
